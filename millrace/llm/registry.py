@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import counts, exact, packing
+from . import bytebpe, counts, exact, language, packing, quality, tokenfile, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op3_token_counts": counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_warc": warc.op5_warc,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_byte_bpe": bytebpe.op8_byte_bpe,
+    "op9_language_id": language.op9_language_id,
+    "op10_token_file": tokenfile.op10_token_file,
 }
-SQL = {"op1_exact_dedup": exact.OP1_SQL}
+SQL = {"op1_exact_dedup": exact.OP1_SQL, "op5_warc": warc.OP5_SQL}
