@@ -19,7 +19,7 @@ from .common import BLANKS, documents, id_text
 BUCKETS = 1 << 16
 #: Added to each bucket's count.
 SMOOTH = 1.0
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 #: Trusted ids up to this many (16 MB) are sent to all tasks; more are joined by shuffle.
 SENT_IDS = 1_000_000
 WINDOW = 5
