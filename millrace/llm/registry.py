@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bytebpe, counts, exact, language, packing, quality, tokenfile, warc
+from . import bytebpe, counts, exact, language, packing, quality, suffix, tokenfile, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_token_counts": counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_warc": warc.op5_warc,
