@@ -175,6 +175,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is one that was learned, with a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+
+    def run(batches):
+        scorer = Scorer(Model(*shared.value))
+        for batch in batches:
+            for step in text_steps(batch):
+                found = [scorer.score(t) for t in step.column("text").to_pylist()]
+                yield step.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id="doc_id"):
     """Documents that nothing is learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, counts, exact, language, packing, quality, suffix, tokenfile, warc
+from . import bytebpe, counts, exact, language, nearjoin, packing, quality, suffix, tokenfile, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_warc": warc.op5_warc,
+    "op6_near_join": nearjoin.op6_near_join,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
     "op9_language_id": language.op9_language_id,

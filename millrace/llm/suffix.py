@@ -395,6 +395,44 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.join(spans, "doc_id", "left").mapInArrow(_digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def whole_characters(raw: bytes, starts: list[int], stops: list[int]) -> tuple[list[int], list[int]]:
+    """The runs without the characters that they hold only in part; runs that hold none are gone."""
+    lo, hi = [], []
+    for a, b in zip(starts, stops, strict=True):
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            lo.append(a)
+            hi.append(b)
+    return lo, hi
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs (doc_id, text, n_chars and others), with what is repeated cut out of text, in whole characters, and n_chars
+    set anew where something was. Documents of which nothing is left are gone."""
+    rows = id_text(docs)
+    spans = merged_spans(repeated_spans(distinct_ids(rows), length))
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            texts, counts, keep = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), []
+            for k, (starts, stops) in enumerate(zip(batch.column("__starts").to_pylist(), batch.column("__stops").to_pylist(), strict=True)):
+                if starts and texts[k]:
+                    raw = texts[k].encode()
+                    texts[k] = kept_pieces(raw, *whole_characters(raw, starts, stops)).decode()
+                    counts[k] = len(texts[k])
+                keep.append(not starts or bool(texts[k]))
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(counts, batch.column("n_chars").type)}
+            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in schema.names], names=schema.names)
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    joined = docs.join(spans.select(F.col("doc_id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "doc_id", "left")
+    return joined.select(*schema.names, "__starts", "__stops").mapInArrow(run, schema)
+
+
 def distinct_ids(rows: DataFrame) -> DataFrame:
     """Rows with an id, one of each; a shuffle only if ids are repeated."""
     rows = rows.where(F.col("doc_id").isNotNull())
