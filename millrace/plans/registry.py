@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import orders, reviews, sequences
+
 FLAGSHIP = "review_gate_counts"
+QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES
+SQL = reviews.SQL | sequences.SQL | orders.SQL
