@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of our own: what a normalizer puts in place of volatile parts.
-PLACEHOLDERS = {"tag": "<tag>", "number": "<n>", "url": "<url>", "email": "<email>"}
+PLACEHOLDERS = {"tag": "{tag}", "number": "{n}", "url": "{url}", "email": "{email}"}
 
 
 def normalized_page(html: Column) -> Column:

@@ -153,7 +153,7 @@ SQL = {
     "evidence_reuse": "SELECT source, count(*) AS n_groups, max(n) AS largest, count_if(n > 1)::BIGINT AS n_reused FROM (SELECT source, md5(text) AS h, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source",
     "line_predicates": r"SELECT doc_id, regexp_matches(text, '(^|\n)The ') AS has_the_line, regexp_matches(text, '(^|\n)[A-Z]+!!') AS has_shout, contains(text, ' | ') AS has_table, trim(text) = '' AS is_blank FROM documents",
     "page_normalized": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'),
-        'https?://[^\s"''<>]+', '<url>', 'g'), '</?[a-zA-Z][^>]*>', '<tag>', 'g'), '[0-9]+', '<n>', 'g'), '[ \t\n]+', ' ', 'g'))) AS page_md5 FROM pages""",
-    "redacted_texts": "SELECT doc_id, md5(substr(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '<email>', 'g'), 1, 1000)) AS text_md5, length(text) > 1000 AS was_cut FROM documents",
+        'https?://[^\s"''<>]+', '{url}', 'g'), '</?[a-zA-Z][^>]*>', '{tag}', 'g'), '[0-9]+', '{n}', 'g'), '[ \t\n]+', ' ', 'g'))) AS page_md5 FROM pages""",
+    "redacted_texts": "SELECT doc_id, md5(substr(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '{email}', 'g'), 1, 1000)) AS text_md5, length(text) > 1000 AS was_cut FROM documents",
     "derived_ids": r"SELECT doc_id, 'ctx_' || substr(md5(concat_ws(chr(31), coalesce(lang, '<null>'), coalesce(source, '<null>'))), 1, 32) AS context_id, 'ev_' || substr(md5(concat_ws(chr(31), doc_id::VARCHAR, coalesce(lang, '<null>'))), 1, 32) AS evidence_id FROM documents",
 }
