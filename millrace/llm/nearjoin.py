@@ -12,7 +12,9 @@ that a smaller partner may have. Linked sets share a signature. On the first lev
 * A set that has fewer than k + 1 partitions in all (very unlikely) makes all sets of linkable size emit single features too.
 
 Equal sets are one. In each group of a signature, sets are first compared with one of them, then, round by round, with one that
-is not connected yet; what is still unconnected is compared pair by pair. Every comparison is exact.
+is not connected yet; what is still unconnected is compared pair by pair. A pair is first held against the parity bitmaps of
+its sets: each feature flips a bit, so bits that differ are at most as many as features that do, and a pair with more of them
+than linked sets may have is out. The others are compared feature by feature.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ from .suffix import mixed, prefix_hashes, substring_hashes
 WORDS = 5
 #: Sets up to this size use single features.
 SINGLES = 32
-#: Documents, about, in the sample that shows which partitions are common; how many of them make one common; the most that are kept.
-SAMPLE_DOCS = 20_000
-COMMON = 10
-KEPT_COMMON = 500_000
+#: One in how many documents is in the sample that shows which partitions are common, how many of it make one common (so about
+#: the product of both in all documents), and the most that are kept.
+SAMPLE_OF = 8
+COMMON = 4
+KEPT_COMMON = 1_000_000
+#: Documents up to this many (16 MB of ids) are named to all tasks when their texts are read again; more are joined by shuffle.
+SENT_IDS = 1_000_000
 #: Rounds in which a signature's sets are compared with one of them before the pairs left are compared.
 STAR_ROUNDS = 3
 
@@ -122,6 +127,24 @@ def emitted(features: np.ndarray, common: np.ndarray, single_too: bool) -> np.nd
     return np.unique(np.concatenate(out))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Parity bitmap: each feature flips the bit that its hash names; a power of two of bits, at least the number of features."""
+    bits = 64 if len(features) <= SINGLES else 2 << level(len(features))
+    at = mixed(features + _STEP) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, size_a: int, b: bytes, size_b: int) -> bool:
+    """False only if the bitmaps prove that the sets differ in too many features. The longer bitmap is folded onto the shorter."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return 7 * (x ^ y).bit_count() <= size_a + size_b
+
+
 def _steps(batch):
     """(ids, sets) of a batch, some bytes at a time."""
     data, offsets = pool(batch.column("text"))
@@ -134,8 +157,8 @@ def _summaries(batches):
     for batch in batches:
         for ids, sets in _steps(batch):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) > 0 and is_poor(s) for s in sets])],
-                names=["doc_id", "n_shingles", "digest", "poor"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) > 0 and is_poor(s) for s in sets]), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "poor", "sketch"],
             )
 
 
@@ -210,20 +233,29 @@ def _check(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], names=["a", "b"])
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_check, "a bigint, b bigint")
+def _sift(batches):
+    for batch in batches:
+        hit = [may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit, pa.bool_())), batch.column("b").filter(pa.array(hit, pa.bool_()))], names=["a", "b"])
+
+
+def checked(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. sketches: id, size and sketch of each set; only what they leave is read as text again."""
+    ends = [sketches.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    left = table(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_sift, "a bigint, b bigint"), "near-pairs")
+    ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
+    named = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    sets = table(rows.join(named, "doc_id", "left_semi").mapInArrow(_sets_rows, "id bigint, features binary").dropDuplicates(["id"]), "near-sets")
+    fa, fb = (sets.select(F.col("id").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
+    return left.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_check, "a bigint, b bigint")
 
 
 def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
-    """(id, comp) of the sets that link with another; rows: doc_id and text; summaries: doc_id, n_shingles, digest, poor and rep."""
+    """(id, comp) of the sets that link with another; rows: doc_id and text; summaries: doc_id, n_shingles, digest, poor, sketch and rep."""
     spark = rows.sparkSession
     poor = [r["n_shingles"] for r in summaries.where("poor").select("n_shingles").distinct().collect()]
     ranges = [(3 * n // 4, 4 * n // 3 + 1) for n in poor]
-    share = min(1.0, SAMPLE_DOCS / max(1, summaries.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0)
     often = sample.mapInArrow(_all_signatures, "sig bigint").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     common = np.sort(np.array([r["sig"] for r in often.orderBy(F.desc("n"), "sig").limit(KEPT_COMMON).select("sig").collect()], dtype=np.int64).view(np.uint64))
 
@@ -231,8 +263,7 @@ def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     shared = dealt.mapInArrow(_shared, SHARED)
     reps = summaries.select("doc_id", "rep").distinct()
     groups = table(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("id"), "size").distinct(), "near-groups")
-    ids = groups.select(F.col("id").alias("doc_id")).distinct()
-    sets = table(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_rows, "id bigint, features binary"), "near-sets")
+    sketches = summaries.where(F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["id"])
 
     fits = (4 * F.least("size", "size_b") >= 3 * F.greatest("size", "size_b")) & (F.col("id") != F.col("id_b"))
     pair = [F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")]
@@ -246,7 +277,7 @@ def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
         else:
             other = left.select("sig", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
             tried = left.join(other, "sig").where("id < id_b")
-        new = table(checked(tried.where(fits & (F.col("comp") != F.col("comp_b"))).select(*pair).distinct(), sets), "near-links")
+        new = table(checked(tried.where(fits & (F.col("comp") != F.col("comp_b"))).select(*pair).distinct(), sketches, rows), "near-links")
         if new.limit(1).count():
             links = new if links is None else table(links.unionByName(new), "near-links")
             labels = components(links)
@@ -267,7 +298,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     component_id null. Texts of any length are read whole. Other columns are ignored.
     """
     rows = id_text(docs)
-    found = table(rows.mapInArrow(_summaries, "doc_id bigint, n_shingles bigint, digest binary, poor boolean"), "near-sizes")
+    found = table(rows.mapInArrow(_summaries, "doc_id bigint, n_shingles bigint, digest binary, poor boolean, sketch binary"), "near-sizes")
     filled = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = table(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     named = table(filled.join(classes, "digest"), "near-named")
