@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A task's texts are cut into the pattern's matches; its distinct words become one array. Spark folds ranked merges over the
-byte array of each of them: pieces are strings of hex digits, the rank map is a literal, dealt into an array of small maps by
-the CRC of the piece so that a look-up reads a handful of entries. A fold step takes the leftmost pair of least rank, joins
-it, and looks up the two new neighbours. Ids of a document are those of its words in order; decoding concatenates the binary
-pieces of the ids.
+A task's texts are cut into the pattern's matches; its distinct words become one array of byte arrays. Spark folds ranked merges
+over each of them. The rank map is a literal: for every two pieces whose concatenation is a piece too it has that piece's rank,
+which is its id; it is dealt into an array of small maps, so that a look-up reads a handful of entries. A fold step takes the
+leftmost pair of least rank, joins it, and looks up the two new neighbours. Ids of a document are those of its words in order;
+decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from .common import documents, id_text, text_steps
 from .tokens import Encoder
 
-#: Small maps that the rank map is dealt into.
-MAPS = 16_384
+#: Small maps that the rank map is dealt into, and what a left id counts when they are chosen.
+MAPS, LEFT = 65_521, 7_919
 #: UTF-8 bytes beyond which a word is merged by a heap, as a fold over it would take quadratic time.
-LONGEST_FOLD = 512
+LONGEST_FOLD = 256
 #: Bytes of text whose distinct words are folded together.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 NO_RANK = (1 << 31) - 1
 
-CUT = "doc_ids array<bigint>, sizes array<int>, uses binary, words array<string>, long_words array<string>, long_at array<int>, word_at array<int>"
+CUT = "doc_ids array<bigint>, sizes array<int>, uses binary, words array<array<smallint>>, long_words array<string>, long_at array<int>, word_at array<int>"
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -43,17 +43,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _small(piece: str, n: int) -> int:
-    return zlib.crc32(piece.encode()) % n
-
-
 def rank_maps(ranks: dict[bytes, int], n: int = MAPS) -> Column:
-    """The rank map as a literal: array of n maps from hex piece to rank."""
-    dealt: list[dict[str, int]] = [{} for _ in range(n)]
+    """The rank map as a literal: array of n maps from left id * 65536 + right id to the rank of both together."""
+    dealt: list[dict[int, int]] = [{} for _ in range(n)]
     for piece, rank in ranks.items():
-        text = piece.hex().upper()
-        dealt[_small(text, n)][text] = rank
-    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                dealt[(left * LEFT + right) % n][left << 16 | right] = rank
+    return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+
+
+def byte_ids(ranks: dict[bytes, int]) -> Column:
+    """The ids of the 256 single bytes as a literal."""
+    return F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
+
+
+def unreached(ranks: dict[bytes, int]) -> set[str]:
+    """Words that are pieces but that merging would not give as one: they count as one piece all the same."""
+    found = [p for p, r in ranks.items() if len(p) > 1 and heap_merge(p, ranks) != [r]]
+    return {p.decode() for p in found if _is_text(p)}
+
+
+def _is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
@@ -69,51 +86,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_words(words: Column, maps: Column, n: int = MAPS) -> Column:
-    """For an array of words their arrays of ids."""
+def encode_words(words: Column, maps: Column, singles: Column, n: int = MAPS) -> Column:
+    """For an array of words, each an array of byte values, their arrays of ids."""
+    none = F.array().cast("array<int>")
 
-    def rank(table: Column, piece: Column) -> Column:
-        held = F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(n)).cast("int"))
-        return F.coalesce(F.try_element_at(held, piece), F.lit(NO_RANK))
+    def rank(table: Column, left: Column, right: Column) -> Column:
+        held = F.get(table, ((left * LEFT + right) % n).cast("int"))
+        return F.coalesce(F.try_element_at(held, left.cast("long") * 65536 + right), F.lit(NO_RANK))
 
     def step(table: Column, state: Column) -> Column:
-        least = F.array_min(state["ranks"])
-
-        def joined(j: Column) -> Column:  # j: from 1, the first piece of the pair
-            pieces, ranks = state["pieces"], state["ranks"]
-            size = F.size(pieces)
-            both = F.concat(F.element_at(pieces, j), F.element_at(pieces, j + 1))
-
-            def put(new: Column) -> Column:
-                before = F.when(j > 1, F.array(rank(table, F.concat(F.get(pieces, j - 2), new)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(j + 2 <= size, F.array(rank(table, F.concat(new, F.get(pieces, j + 1))))).otherwise(F.array().cast("array<int>"))
+        def joined(least: Column) -> Column:
+            def at(j: Column) -> Column:  # j: from 1, the first piece of the pair; the new piece's id is its rank
+                ids, ranks = state["ids"], state["ranks"]
+                size = F.size(ids)
+                before = F.when(j > 1, F.array(rank(table, F.get(ids, j - 2), least))).otherwise(none)
+                after = F.when(j + 2 <= size, F.array(rank(table, least, F.get(ids, j + 1)))).otherwise(none)
                 return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), j - 1), F.array(new), F.slice(pieces, j + 2, size)).alias("pieces"),
+                    F.concat(F.slice(ids, F.lit(1), j - 1), F.array(least), F.slice(ids, j + 2, size)).alias("ids"),
                     F.concat(F.slice(ranks, F.lit(1), F.greatest(j - 2, F.lit(0))), before, after, F.slice(ranks, j + 2, size)).alias("ranks"),
                 )
 
-            return _let(both, put)
-
-        return F.when((F.size(state["ranks"]) == 0) | (least == NO_RANK), state).otherwise(_let(F.array_position(state["ranks"], least).cast("int"), joined))
-
-    def fold(table: Column, hexed: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.length(hexed) / 2), lambda i: F.substring(hexed, (i * 2 - 1).cast("int"), F.lit(2)))
-        n_bytes = (F.length(hexed) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), n_bytes - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
+            return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(state["ranks"], least).cast("int"), at))
 
-        def run(pieces: Column) -> Column:
-            pairs = F.when(n_bytes > 1, F.transform(F.sequence(F.lit(0), n_bytes - 2), lambda i: rank(table, F.substring(hexed, i * 2 + 1, F.lit(4))))).otherwise(F.array().cast("array<int>"))
-            start = F.struct(pieces.alias("pieces"), pairs.alias("ranks"))
-            merged = F.aggregate(F.sequence(F.lit(1), n_bytes), start, lambda state, _: step(table, state))
-            return F.transform(merged["pieces"], lambda p: rank(table, p))
+        return _let(F.array_min(state["ranks"]), joined)
 
-        return _let(pieces, run)
+    def word(table: Column, ids: Column) -> Column:
+        pairs = F.when(F.size(ids) > 1, F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(table, F.get(ids, i), F.get(ids, i + 1)))).otherwise(none)
+        return F.aggregate(ids, F.struct(ids.alias("ids"), pairs.alias("ranks")), lambda state, _: step(table, state))["ids"]
 
-    def word(table: Column, hexed: Column) -> Column:
-        whole = rank(table, hexed)
-        return _let(whole, lambda r: F.when(r != NO_RANK, F.array(r)).otherwise(fold(table, hexed)))
+    def all_words(table: Column) -> Column:
+        return _let(singles, lambda one: F.transform(words, lambda w: _let(F.transform(w, lambda b: F.get(one, b.cast("int"))), lambda ids: word(table, ids))))
 
-    return _let(maps, lambda table: F.transform(F.transform(words, lambda w: F.hex(w.cast("binary"))), lambda h: word(table, h)))
+    return _let(maps, all_words)
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -155,7 +159,7 @@ class Words(Encoder):
         return [array("i", [number(w, len(self.numbers)) for w in find(t)]).tobytes() for t in texts]
 
 
-def _cut(pattern: str):
+def _cut(pattern: str, apart: set[str]):
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -163,27 +167,34 @@ def _cut(pattern: str):
                 held.append(step)
                 size += step.column("text").nbytes
                 if size >= CHUNK_BYTES:
-                    yield _chunk(held, pattern)
+                    yield _chunk(held, pattern, apart)
                     held, size = [], 0
         if held:
-            yield _chunk(held, pattern)
+            yield _chunk(held, pattern, apart)
 
     return run
 
 
-def _chunk(steps: list[pa.RecordBatch], pattern: str) -> pa.RecordBatch:
+def _chunk(steps: list[pa.RecordBatch], pattern: str, apart: set[str]) -> pa.RecordBatch:
+    """One row: the documents' words as numbers, and the distinct words as byte arrays; very long words stand apart as text."""
     words, ids, uses = Words(pattern), [], []
     for step in steps:
         ids += step.column("doc_id").to_pylist()
         uses += words.ids(step.column("text").to_pylist())
-    short, long, short_at, long_at = [], [], [], []
-    for w, i in words.numbers.items():
-        is_long = len(w.encode()) > LONGEST_FOLD
-        (long if is_long else short).append(w)
-        (long_at if is_long else short_at).append(i)
-    row = ([ids], [[len(u) // 4 for u in uses]], [b"".join(uses)], [short], [long], [long_at], [short_at])
-    kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["doc_ids", "sizes", "uses", "words", "long_words", "long_at", "word_at"])
+    words.known.clear()
+    raw = [w.encode() for w in words.numbers]
+    long_at = [i for i, (w, r) in enumerate(zip(words.numbers, raw, strict=True)) if len(r) > LONGEST_FOLD or w in apart]
+    aside = set(long_at)
+    short_at = [i for i in range(len(raw)) if i not in aside] if aside else list(range(len(raw)))
+    short = [raw[i] for i in short_at] if aside else raw
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in short], dtype=np.int64)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(short), dtype=np.uint8).astype(np.int16))
+    folded = pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values))
+    texts = [raw[i].decode() for i in long_at]
+    row = ([ids], [[len(u) // 4 for u in uses]], [b"".join(uses)], [texts], [long_at], [short_at])
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    made = [pa.array(x, k) for x, k in zip(row, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*made[:3], folded, *made[3:]], names=["doc_ids", "sizes", "uses", "words", "long_words", "long_at", "word_at"])
 
 
 def _assemble(path: str):
@@ -192,23 +203,24 @@ def _assemble(path: str):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                at, long_at = row["word_at"].as_py(), row["long_at"].as_py()
+                at, long_at = row["word_at"].values.to_numpy(), row["long_at"].as_py()
                 n = len(at) + len(long_at)
-                texts, counts, raw = [""] * n, [0] * n, [b""] * n
-                for i, t, c, b in zip(at, row["id_texts"].as_py(), row["id_counts"].as_py(), row["raw"].as_py(), strict=True):
-                    texts[i], counts[i], raw[i] = t, c, b
+                texts, raw, counts = np.empty(n, dtype=object), np.empty(n, dtype=object), np.zeros(n, dtype=np.int64)
+                texts[at] = row["id_texts"].values.to_numpy(zero_copy_only=False)
+                raw[at] = row["raw"].values.to_numpy(zero_copy_only=False)
+                counts[at] = row["id_counts"].values.to_numpy()
                 if long_at:
                     ranks = ranks or load_ranks(path)
                     by_id = {r: p for p, r in ranks.items()}
                     for i, w in zip(long_at, row["long_words"].as_py(), strict=True):
-                        ids = heap_merge(w.encode(), ranks)
+                        ids = [ranks[w.encode()]] if w.encode() in ranks else heap_merge(w.encode(), ranks)
                         texts[i], counts[i], raw[i] = " ".join(map(str, ids)), len(ids), b"".join(by_id[x] for x in ids)
-                uses, a, out = array("i", row["uses"].as_py()), 0, []
+                uses, a, out = np.frombuffer(row["uses"].as_buffer(), dtype="<i4"), 0, []
                 for doc_id, size in zip(row["doc_ids"].as_py(), row["sizes"].as_py(), strict=True):
                     own = uses[a : a + size]
                     a += size
-                    ids = " ".join([texts[i] for i in own])
-                    out.append((doc_id, sum([counts[i] for i in own]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([raw[i] for i in own])).hexdigest()))
+                    ids = " ".join(texts[own].tolist())
+                    out.append((doc_id, int(counts[own].sum()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join(raw[own].tolist())).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -218,11 +230,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 of every whole text.
 
     Null or empty text has no ids: both digests are those of nothing. Words of more than LONGEST_FOLD bytes are merged by a
-    heap, with the same result. Repeated rows are encoded each. Columns other than doc_id and text are ignored.
+    heap, with the same result; a word that is a piece as a whole is one id, as in the library. Repeated rows are encoded each. Columns other than doc_id and text are ignored.
     """
     ranks = load_ranks(path)
-    chunks = id_text(docs).mapInArrow(_cut(pattern), CUT)
-    coded = chunks.withColumn("ids", encode_words(F.col("words"), rank_maps(ranks)))
+    chunks = id_text(docs).mapInArrow(_cut(pattern, unreached(ranks)), CUT)
+    coded = chunks.withColumn("ids", encode_words(F.col("words"), rank_maps(ranks), byte_ids(ranks)))
     coded = coded.select("doc_ids", "sizes", "uses", "long_words", "long_at", "word_at", F.transform("ids", lambda x: F.array_join(x.cast("array<string>"), " ")).alias("id_texts"), F.transform("ids", F.size).alias("id_counts"), decode_ids(F.col("ids"), piece_list(ranks)).alias("raw"))
     return coded.mapInArrow(_assemble(path), OUT)
 

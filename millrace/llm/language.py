@@ -69,18 +69,21 @@ class Model:
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[int, dict[str, list[float]]]):
         self.langs, self.words, self.grams = langs, words, grams
 
-    def vector(self, piece: str) -> np.ndarray | None:
+    def vector(self, piece: str) -> list[float] | None:
         found = words_of(piece)
-        return np.sum([self._word(w) for w in found], axis=0) if found else None
+        if not found:
+            return None
+        return self._word(found[0]) if len(found) == 1 else [sum(x) for x in zip(*map(self._word, found), strict=True)]
 
-    def _word(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> list[float]:
         if word in self.words:
-            return np.array(self.words[word])
+            return self.words[word]
         for order in ORDERS:
-            held = [v for g in grams_of(word, order) if (v := self.grams.get(order, {}).get(g))]
+            known = self.grams.get(order, {})
+            held = [v for g in grams_of(word, order) if (v := known.get(g))]
             if held:
-                return np.mean(held, axis=0)
-        return np.zeros(len(self.langs))
+                return [sum(x) / len(held) for x in zip(*held, strict=True)]
+        return [0.0] * len(self.langs)
 
 
 def _logs(rows: list, langs: list[str], totals: dict) -> dict[str, list[float]]:

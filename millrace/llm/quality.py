@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, documents, id_text
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Added to each bucket's count.
 SMOOTH = 1.0
 THRESHOLD = -0.2

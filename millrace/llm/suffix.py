@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,9 @@ def _text_parts(offsets: np.ndarray, length: int):
 
 
 def _anchor_rows(length: int, seed: int):
+    """Anchors of all windows. A context that stands earlier in the same step too needs no comparison: it has no digest, and
+    instead of its seed a number that spreads such rows over the tasks, so a passage that very many texts share burdens none."""
+
     def run(batches):
         for batch in batches:
             data, offsets = pool(batch.column("text"))
@@ -120,7 +124,12 @@ def _anchor_rows(length: int, seed: int):
                     lead = at - first
                     digests = mixed(mixed(substring_hashes(prefix_hashes(part, SECOND), first, last - first + length, SECOND)) + lead.astype(np.uint64)).view(np.int64)
                     packed = (first - ends[text] + skipped) << 16 | lead << 8 | (last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(digests), ids.take(pa.array(i + text)), pa.array(packed)], names=["seed", "digest", "doc_id", "packed"])
+                    names = ids.take(pa.array(i + text)).to_numpy()
+                    order = np.lexsort((packed, names, digests, seeds))
+                    seeds, digests, names, packed = seeds[order], digests[order], names[order], packed[order]
+                    known = np.concatenate([[False], (seeds[1:] == seeds[:-1]) & (digests[1:] == digests[:-1])])
+                    seeds[known] = mixed(names[known].view(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(digests, mask=known), pa.array(names), pa.array(packed)], names=["seed", "digest", "doc_id", "packed"])
 
     return run
 
@@ -136,6 +145,13 @@ def _resolve(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
+        known = batch.column("digest").is_null()
+        if batch.column("digest").null_count:
+            done = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([pa.nulls(done.num_rows, pa.int64()), done.column("doc_id"), done.column("packed")], names=["seed", "doc_id", "packed"])
+            batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
         seed, digest, doc, packed = (batch.column(c).to_numpy() for c in ("seed", "digest", "doc_id", "packed"))
         same_seed = np.concatenate([[last_seed is not None and seed[0] == last_seed], seed[1:] == seed[:-1]])
         same = same_seed & np.concatenate([[last_digest is not None and digest[0] == last_digest], digest[1:] == digest[:-1]])

@@ -2,10 +2,10 @@
 
 Ids are replaced by their rank of frequency in the corpus, so that the most frequent ones take one byte. Ranks are written in
 byte-aligned variable length: one control byte tells the lengths (1 to 4) of four ranks, two bits each, and stands apart from
-the data bytes. A segment is
+the data bytes. A document's ranks are filled up with zeros to a multiple of four. A segment is
 
-    magic, number of documents, number of ids, ids before it (8 bytes each), document ids (8 bytes each, and a byte that tells
-    if there is one), numbers of ids (8 bytes each), control bytes, data bytes
+    magic, number of documents, number of control bytes, ids before it (8 bytes each), document ids (8 bytes each, and a byte
+    that tells if there is one), numbers of ids (8 bytes each), control bytes, data bytes
 
 and a file holds one segment; a file of the folder's `vocabulary` lists the ids by rank. Files are written and read by
 Spark's own sources, so any store that Spark knows will do.
@@ -32,46 +32,63 @@ LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)
 """By control byte, the four lengths."""
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes."""
-    ranks = ranks.astype("<u4")
-    size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = size - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
-
-
-def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(size, dtype=np.int64)
-    starts = ends - size
-    ranks = data[starts].astype(np.uint32) if n else np.zeros(0, dtype=np.uint32)
+def filled(counts: np.ndarray) -> np.ndarray:
+    return (counts + 3) // 4 * 4
+
+
+def pack_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, data bytes and the length of each rank; the ranks are a multiple of four."""
+    width = 2 if int(ranks.max(initial=0)) < 1 << 16 else 4
+    size = np.ones(len(ranks), dtype=np.uint8)
+    for k in range(1, width):
+        size += ranks >= np.uint32(1 << 8 * k)
+    lanes = (size - 1).reshape(-1, 4)
+    control = lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control, data[np.arange(width, dtype=np.uint8) < size[:, None]], size
+
+
+def pack_documents(ids: np.ndarray, counts: np.ndarray, by_id: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each document; ids: those of all, counts: how many are whose."""
+    spread = filled(counts)
+    ranks = np.zeros(int(spread.sum()), dtype=np.uint32)
+    shift = np.cumsum(spread) - spread - (np.cumsum(counts) - counts)
+    ranks[np.arange(len(ids)) + np.repeat(shift, counts)] = by_id[ids]
+    control, data, size = pack_ranks(ranks)
+    c_ends, d_ends = np.cumsum(spread) // 4, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(spread)]
+    cut = lambda raw, ends: [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return cut(control.tobytes(), c_ends), cut(data.tobytes(), d_ends)
+
+
+def unpack_ranks(control: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The ranks, a multiple of four, by looking up the lengths that each control byte stands for."""
+    size = LENGTHS[control].reshape(-1)
+    starts = np.cumsum(size, dtype=np.int64)
+    starts -= size
+    ranks = data[starts].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
         more = np.flatnonzero(size > k)
         ranks[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
-def write_segment(doc_ids: list, counts: list[int], before: int, ranks: np.ndarray) -> bytes:
-    control, data = pack_ranks(ranks)
-    head = np.array([len(doc_ids), len(ranks), before], dtype="<i8").tobytes()
+def write_segment(doc_ids: list, counts: list[int], before: int, control: list[bytes], data: list[bytes]) -> bytes:
+    head = np.array([len(doc_ids), sum(map(len, control)), before], dtype="<i8").tobytes()
     names = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + bytes(d is not None for d in doc_ids)
-    return b"".join([MAGIC, head, names, np.array(counts, dtype="<i8").tobytes(), control, data])
+    return b"".join([MAGIC, head, names, np.array(counts, dtype="<i8").tobytes(), *control, *data])
 
 
 def read_segment(raw: bytes) -> tuple[list, np.ndarray, int, np.ndarray]:
+    """Document ids, numbers of ids, ids before it, and the ranks, filled up document by document."""
     if raw[:8] != MAGIC:
         raise ValueError("not a token segment")
-    n_docs, n, before = (int(x) for x in np.frombuffer(raw, "<i8", 3, 8))
+    n_docs, n_control, before = (int(x) for x in np.frombuffer(raw, "<i8", 3, 8))
     at = 32
     names, there = np.frombuffer(raw, "<i8", n_docs, at), np.frombuffer(raw, np.uint8, n_docs, at + 8 * n_docs)
     at += 9 * n_docs
     counts = np.frombuffer(raw, "<i8", n_docs, at)
     at += 8 * n_docs
-    n_control = -(-n // 4)
-    ranks = unpack_ranks(np.frombuffer(raw, np.uint8, n_control, at), np.frombuffer(raw, np.uint8, offset=at + n_control), n)
+    ranks = unpack_ranks(np.frombuffer(raw, np.uint8, n_control, at), np.frombuffer(raw, np.uint8, offset=at + n_control))
     return [int(d) if t else None for d, t in zip(names, there, strict=True)], counts, before, ranks
 
 
@@ -101,29 +118,45 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["id", "n"])
 
 
-def _segments(by_id: np.ndarray, before: dict[int, int]):
+PACKED = "doc_id bigint, part int, n bigint, control binary, data binary"
+
+
+def _pack(by_id: np.ndarray):
+    """Ids to ranks in variable length, document by document."""
+
+    def run(batches):
+        for batch in batches:
+            for step in text_steps(batch, "ids"):
+                ids = [np.frombuffer(x, f"<u{w}") for w, x in zip(step.column("width").to_pylist(), step.column("ids").to_pylist(), strict=True)]
+                counts = np.array([len(x) for x in ids], dtype=np.int64)
+                control, data = pack_documents(np.concatenate(ids), counts, by_id)
+                yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("part"), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
+
+    return run
+
+
+def _segments(before: dict[int, int]):
     """One segment for every SEGMENT_IDS ids or so of a task's documents, which come in order."""
 
     def run(batches):
-        docs, counts, held, size, at = [], [], [], 0, None
+        held, size, at = [], 0, None
         for batch in batches:
-            for doc_id, part, width, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "width", "ids")), strict=True):
+            for doc_id, part, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "n", "control", "data")), strict=True):
                 at = before[part] if at is None else at
-                held.append(by_id[np.frombuffer(ids, f"<u{width}")])
-                docs.append(doc_id)
-                counts.append(len(held[-1]))
-                size += counts[-1]
+                held.append((doc_id, n, control, data))
+                size += n
                 if size >= SEGMENT_IDS:
-                    yield _segment(docs, counts, at, held)
-                    docs, counts, held, size, at = [], [], [], 0, at + size
-        if docs:
-            yield _segment(docs, counts, at, held)
+                    yield _segment(held, at)
+                    held, size, at = [], 0, at + size
+        if held:
+            yield _segment(held, at)
 
     return run
 
 
-def _segment(docs, counts, at, held) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([write_segment(docs, counts, at, np.concatenate(held))], pa.binary())], names=["segment"])
+def _segment(held: list[tuple], at: int) -> pa.RecordBatch:
+    docs, counts, control, data = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([write_segment(docs, counts, at, control, data)], pa.binary())], names=["segment"])
 
 
 def _raw_files(df: DataFrame, column: str, path: str) -> None:
@@ -155,25 +188,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaces_lead: bool =
         before[p] = total
         total += sizes[p]
     _raw_files(spark.createDataFrame([(bytearray(np.array(order, dtype="<u4").tobytes()),)], "ids binary"), "ids", f"{path}/vocabulary")
-    dealt = encoded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("doc_id")
-    _raw_files(dealt.mapInArrow(_segments(by_id, before), "segment binary"), "segment", f"{path}/segments")
+    dealt = encoded.mapInArrow(_pack(by_id), PACKED).repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("doc_id")
+    _raw_files(dealt.mapInArrow(_segments(before), "segment binary"), "segment", f"{path}/segments")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files."""
+def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files; with
+    `digests`, ids_crc32 in place of ids."""
     order = spark.read.format("binaryFile").load(f"{path}/vocabulary").select("content").first()
     by_rank = np.frombuffer(order["content"][:-1], dtype="<u4")
+    last = ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())
 
     def run(batches):
         for batch in batches:
             for raw in batch.column("content"):
-                docs, counts, before, ranks = read_segment(raw.as_py()[:-1])
+                docs, counts, before, ranks = read_segment(raw.as_buffer().to_pybytes()[:-1])
                 ids = by_rank[ranks]
-                ends = np.cumsum(counts)
-                out = [ids[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                starts = np.cumsum(filled(counts)) - filled(counts)
+                own = [ids[a : a + c] for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+                out = [zlib.crc32(x) for x in own] if digests else [x.tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(before + np.cumsum(counts) - counts), pa.array(counts), pa.array(out, last[1])], names=["doc_id", "start", "n_tokens", last[0]])
 
-    return spark.read.format("binaryFile").load(f"{path}/segments").select("content").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    schema = f"doc_id bigint, start bigint, n_tokens bigint, {'ids_crc32 bigint' if digests else 'ids binary'}"
+    return spark.read.format("binaryFile").load(f"{path}/segments").select("content").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -185,7 +222,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, path, digests=True)
 
 
 def op10_token_file(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ A boundary is safe if the tokenizer can never join what stands on both sides of
 * both: a letter followed by ASCII punctuation (without apostrophes) at the end of a piece.
 
 Texts with other white space are encoded whole. Pieces new to a worker go through `encode_batch` together, or, with
-`direct`, words of Latin letters go straight to the library's BPE model, which their pre-tokens would reach unchanged. What
-they gave is kept in a table of bounded size, so a worker's memory does not grow with the corpus.
+`direct`, one by one, words of Latin letters straight to the library's BPE model, which their pre-tokens would reach unchanged.
+What they gave is kept in a table of bounded size, so a worker's memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker forgets all pieces when it has this many.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 600_000
 #: Pieces beyond this many characters are encoded but not remembered.
 LONGEST_KEPT = 64
 #: Punctuation that ends a piece after a letter and never joins it.
@@ -43,6 +43,20 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+class Pieces(dict):
+    """What pieces give; one not known yet is encoded at once. None if it is no safe piece."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str):
+        found = self.encode(piece)
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """ids(texts) gives for each text its token ids as little-endian unsigned 32-bit bytes; counts(texts) the numbers of them."""
 
@@ -51,9 +65,24 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.spaces_lead, self.lengths_only, self.direct = spaces_lead, lengths_only, direct
-        self.known: dict = {}
+        self.known: dict = Pieces(self._now) if direct else {}
         self.cores: dict = {}
 
+    def _now(self, piece: str):
+        """One piece, by its parts."""
+        if self._unsafe(piece):
+            return None
+        found, cores = [], self.cores
+        for part in self._parts(piece):
+            got = cores.get(part)
+            if got is None:
+                got = self._one(part)
+                got = self._raw([part])[0] if got is None else got
+                if len(part) <= LONGEST_KEPT:
+                    cores[part] = got
+            found.append(got)
+        return sum(found) if self.lengths_only else b"".join(found)
+
     def _raw(self, texts: list[str]) -> list:
         if not texts:
             return []
@@ -72,11 +101,6 @@ class Encoder:
         ids = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]
         return len(ids) if self.lengths_only else array("I", ids).tobytes()
 
-    def _fresh(self, parts: list[str]) -> dict:
-        fresh = {p: x for p in parts if (x := self._one(p)) is not None} if self.direct else {}
-        rest = [p for p in parts if p not in fresh]
-        return fresh | dict(zip(rest, self._raw(rest), strict=True))
-
     def _pieces(self, text: str) -> list[str]:
         """With leading spaces, a piece stands for itself with one space before, or without if it is the first or starts with a line feed."""
         if self.spaces_lead:
@@ -100,11 +124,9 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> dict:
         """What the pieces give; those that are no safe pieces are left out."""
-        if len(self.cores) > KEPT_PIECES:
-            self.cores.clear()
         cut = {p: self._parts(p) for p in pieces if not self._unsafe(p)}
         new = list({x for parts in cut.values() for x in parts if x not in self.cores})
-        fresh = self._fresh(new)
+        fresh = dict(zip(new, self._raw(new), strict=True))
         cores, empty = self.cores, 0 if self.lengths_only else b""
         found = {p: sum(((fresh[x] if x in fresh else cores[x]) for x in parts), empty) if self.lengths_only else b"".join([fresh[x] if x in fresh else cores[x] for x in parts]) for p, parts in cut.items()}
         cores.update((x, y) for x, y in fresh.items() if len(x) <= LONGEST_KEPT)
@@ -116,11 +138,13 @@ class Encoder:
         heads = [c.pop(0) for c in cut] if self.spaces_lead else []
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
+        if len(self.cores) > KEPT_PIECES:
+            self.cores.clear()
         known = self.known
-        found = [list(map(known.get, c)) for c in cut]
+        found = [list(map(known.__getitem__ if self.direct else known.get, c)) for c in cut]
         gaps = [i for i, f in enumerate(found) if None in f]
-        whole: set[int] = set()
-        if gaps:
+        whole: set[int] = set(gaps) if self.direct else set()
+        if gaps and not self.direct:
             learned = self._learn({p for i in gaps for p, x in zip(cut[i], found[i], strict=True) if x is None})
             for i in gaps:
                 found[i] = [learned.get(p) if x is None else x for p, x in zip(cut[i], found[i], strict=True)]
