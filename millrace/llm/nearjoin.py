@@ -6,13 +6,18 @@ one partition, so of k + 1 partitions that are not empty at least one is equal i
 its first k + 1 partitions that are not empty, k being a third of its size, at its own level, and with k = 2b/7 at lower levels
 that a smaller partner may have. Linked sets share a signature. On the first level a partition is a single feature.
 
-* Partitions that very many sets have in common (found in a sample of bounded size; this is about speed only) are passed over:
-  a set emits its first k + 1 others. A set that has fewer emits them all and, besides, its first k + 1 of any kind; so of two
-  linked sets either one has k + 1 unusual ones and they share one of those, or both lack them and share any.
+* Partitions that very many sets have in common (found in a sample; this is about speed only) are passed over: a set emits its
+  first k + 1 others. A set that has fewer lacks them: it emits them all, all its uncommon features, and, in a channel of its own,
+  its first k + 1 partitions of any kind. So of two linked sets either one has k + 1 uncommon partitions and they share one of
+  those, or both lack them and share an uncommon feature or, in that channel, some partition.
 * A set that has fewer than k + 1 partitions in all (very unlikely) makes all sets of linkable size emit single features too.
 
 Equal sets are one. In each group of a signature, sets are first compared with one of them, then, round by round, with one that
-is not connected yet; what is still unconnected is compared pair by pair. A pair is first held against the parity bitmaps of
+is not connected yet. What is still unconnected is then compared pair by pair, but in the channel of sets that lack uncommon
+partitions with less: two sets that share no uncommon feature have the similarity |C & D| / (|C | D| + r + s), C and D being their
+common features and r and s the numbers of their others. Of the sets with the same C in a signature the one with the least r thus
+links with whatever any of them links with, and all links between them and others can be had through it; so each set is compared
+with that one set of each C that may be similar enough to its own, which shares a feature of a prefix with it. A pair is first held against the parity bitmaps of
 its sets: each feature flips a bit, so bits that differ are at most as many as features that do, and a pair with more of them
 than linked sets may have is out. The others are compared feature by feature.
 """
@@ -22,10 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, id_text, partitions, pool, table
+from .common import by_bytes, discard, documents, id_text, partitions, pool, table
 from .graph import components
 from .suffix import mixed, prefix_hashes, substring_hashes
 
@@ -40,7 +45,11 @@ KEPT_COMMON = 1_000_000
 #: Documents up to this many (16 MB of ids) are named to all tasks when their texts are read again; more are joined by shuffle.
 SENT_IDS = 1_000_000
 #: Rounds in which a signature's sets are compared with one of them before the pairs left are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Marks a signature of the channel of sets that lack uncommon partitions: its lowest bit.
+ANY = np.uint64(1)
+#: In place of a level, for single features that such sets emit.
+FEATURE_TAG = 63
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -98,15 +107,24 @@ def levels(size: int) -> list[tuple[int, int]]:
 
 
 def signatures(features: np.ndarray, bits: int) -> np.ndarray:
-    """A hash for each partition that is not empty, in order of partitions."""
-    if not len(features):
-        return features
-    tag = np.uint64(bits * int(_STEP) % (1 << 64))
-    if bits == 0:
-        return mixed(features + tag)
+    """A hash for each partition that is not empty, in order of partitions; that of a single feature is the same on all levels."""
+    each = mixed(features)
+    if not len(features) or bits == 0:
+        return each
     part = features >> np.uint64(64 - bits)
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    return mixed(np.add.reduceat(mixed(features + tag), cut) + part[cut] * _STEP)
+    return np.add.reduceat(each, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])))
+
+
+def among(common: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the ascending list."""
+    if not len(common):
+        return np.zeros(len(found), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+
+
+def tagged(found: np.ndarray, bits: int) -> np.ndarray:
+    """Signatures as they are emitted on a level; the lowest bit is clear."""
+    return mixed(found + np.uint64(bits * int(_STEP) % (1 << 64))) & ~ANY
 
 
 def is_poor(features: np.ndarray) -> bool:
@@ -115,15 +133,17 @@ def is_poor(features: np.ndarray) -> bool:
 
 
 def emitted(features: np.ndarray, common: np.ndarray, single_too: bool) -> np.ndarray:
-    out = []
-    wanted = levels(len(features)) + ([(0, len(features) // 3)] if single_too else [])
-    for bits, k in wanted:
+    out, lacks = [], False
+    for bits, k in levels(len(features)) + ([(0, len(features) // 3)] if single_too else []):
         all_of = signatures(features, bits)
-        at = np.searchsorted(common, all_of)
-        rare = all_of[common[np.minimum(at, len(common) - 1)] != all_of] if len(common) else all_of
-        out.append(rare[: k + 1])
+        rare = all_of[~among(common, all_of)]
+        out.append(tagged(rare[: k + 1], bits))
         if len(rare) <= k:
-            out.append(all_of[: k + 1])
+            out.append(tagged(all_of[: k + 1], bits) | ANY)
+            lacks = True
+    if lacks:
+        singles = signatures(features, 0)
+        out.append(tagged(singles[~among(common, singles)], FEATURE_TAG))
     return np.unique(np.concatenate(out))
 
 
@@ -165,7 +185,7 @@ def _summaries(batches):
 def _all_signatures(batches):
     for batch in batches:
         for _, sets in _steps(batch):
-            found = [signatures(s, bits) for s in sets for bits, _ in levels(len(s))]
+            found = [np.unique(np.concatenate([signatures(s, bits) for bits in {0, *(x for x, _ in levels(len(s)))}])) for s in sets]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["sig"])
 
@@ -191,6 +211,22 @@ def _emit(common: np.ndarray, ranges: list[tuple[int, int]]):
     return run
 
 
+def _classes(common: np.ndarray):
+    """Of each set the number of its uncommon features, a hash of the others, and the head of those, a quarter of them and one more:
+    sets of common features whose similarity is 0.75 or more share a feature of their heads."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, sets in _steps(batch):
+                usual = [among(common, signatures(s, 0)) for s in sets]
+                kept = [s[u] for s, u in zip(sets, usual, strict=True)]
+                kinds = np.array([xxhash.xxh3_64_intdigest(c.tobytes()) for c in kept], dtype=np.uint64)
+                heads = pa.array([c[: len(c) // 4 + 1].view(np.int64) for c in kept], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int((~u).sum()) for u in usual], pa.int32()), pa.array(kinds.view(np.int64)), heads], names=["id", "n_rare", "kind", "head"])
+
+    return run
+
+
 SHARED = "sig bigint, doc_id bigint, size int"
 
 
@@ -240,14 +276,54 @@ def _sift(batches):
 
 
 def checked(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. sketches: id, size and sketch of each set; only what they leave is read as text again."""
+    """A table of the pairs (a, b) that link. sketches: id, size and sketch of each set; only what they leave is read as text again."""
     ends = [sketches.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     left = table(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_sift, "a bigint, b bigint"), "near-pairs")
     ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    named = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    sets = table(rows.join(named, "doc_id", "left_semi").mapInArrow(_sets_rows, "id bigint, features binary").dropDuplicates(["id"]), "near-sets")
+    sets = table(of_ids(rows, ids).mapInArrow(_sets_rows, "id bigint, features binary").dropDuplicates(["id"]), "near-sets")
     fa, fb = (sets.select(F.col("id").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
-    return left.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_check, "a bigint, b bigint")
+    found = table(left.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_check, "a bigint, b bigint"), "near-links")
+    discard(left, sets)
+    return found
+
+
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
+def pairs_left(left: DataFrame, rows: DataFrame, common: np.ndarray, fits: Column) -> DataFrame:
+    """Rows (id, size, comp and the same of a partner) that are to be compared in the end."""
+    sides = ["id", "size", "comp", "id_b", "size_b", "comp_b"]
+    is_any = F.col("sig").bitwiseAND(1) == 1
+    few = left.where(~is_any)
+    other = few.select("sig", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
+    tried = few.join(other, "sig").where(fits & (F.col("id") < F.col("id_b"))).select(*sides)
+
+    many = left.where(is_any).select("id", "size", "comp").distinct()
+    kinds = of_ids(rows, many.select(F.col("id").alias("doc_id"))).mapInArrow(_classes(common), "id bigint, n_rare int, kind bigint, head array<bigint>")
+    many = table(many.join(kinds.dropDuplicates(["id"]), "id"), "near-lacking")
+
+    def can(usual: Column, n_rare: Column, usual_b: Column, n_rare_b: Column) -> Column:
+        return 4 * F.least(usual, usual_b) >= 3 * (F.greatest(usual, usual_b) + n_rare + n_rare_b)
+
+    # Kinds that may link share a feature of their heads; they meet at the first one of each run of features that they share.
+    per = many.groupBy("kind").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("size") - F.col("n_rare")).alias("usual"), F.min("n_rare").alias("r"), F.first("head").alias("head"))
+    at = F.transform("head", lambda f, i: F.struct(f.alias("f"), F.when(i > 0, F.get("head", i - 1)).alias("prev")))
+    per = table(per.select("kind", "lo", "hi", "usual", "r", F.inline(at)), "near-heads")
+    # All kinds but those of the component with most kinds there meet with all.
+    main = per.groupBy("f", "lo").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.max(F.struct("n", "lo")).alias("main"))
+    outside = per.join(main, "f").where((F.col("lo") != F.col("main.lo")) | (F.col("hi") != F.col("main.lo"))).drop("main")
+    per_b = per.select("f", *(F.col(c).alias(f"{c}_b") for c in ("kind", "lo", "hi", "usual", "r", "prev")))
+    first_met = ~F.coalesce(F.col("prev") == F.col("prev_b"), F.lit(False))
+    open_kinds = (F.least("lo", "lo_b") != F.greatest("hi", "hi_b")) & can(F.col("usual"), F.col("r"), F.col("usual_b"), F.col("r_b"))
+    met = outside.join(per_b, "f").where(open_kinds & first_met).select("kind", "kind_b").distinct()
+    met = table(met.unionByName(met.select(F.col("kind_b").alias("kind"), F.col("kind").alias("kind_b"))).distinct(), "near-kinds")
+
+    best = many.groupBy("kind").agg(F.min(F.struct("n_rare", "id", "size", "comp")).alias("m"))
+    best = best.select(F.col("kind").alias("kind_b"), F.col("m.id").alias("id_b"), F.col("m.size").alias("size_b"), F.col("m.comp").alias("comp_b"), F.col("m.n_rare").alias("n_rare_b"))
+    members = many.drop("head")
+    fit = can(F.col("size") - F.col("n_rare"), F.col("n_rare"), F.col("size_b") - F.col("n_rare_b"), F.col("n_rare_b"))
+    return tried.unionByName(members.join(met.join(best, "kind_b"), "kind").where(fits & fit).select(*sides))
 
 
 def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -265,25 +341,26 @@ def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     groups = table(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("id"), "size").distinct(), "near-groups")
     sketches = summaries.where(F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["id"])
 
-    fits = (4 * F.least("size", "size_b") >= 3 * F.greatest("size", "size_b")) & (F.col("id") != F.col("id_b"))
+    fits = (4 * F.least("size", "size_b") >= 3 * F.greatest("size", "size_b")) & (F.col("id") != F.col("id_b")) & (F.col("comp") != F.col("comp_b"))
     pair = [F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")]
     links = labels = None
-    left = table(groups.withColumn("comp", F.col("id")), "near-open")
+    left = opened = groups.withColumn("comp", F.col("id"))
     for step in range(STAR_ROUNDS + 1):
         if step < STAR_ROUNDS:
             centre = left.groupBy("sig").agg((F.min if step == 0 else F.max)("comp").alias("comp"))
             centre = left.join(centre, ["sig", "comp"]).groupBy("sig").agg(F.min(F.struct("id", "size", "comp")).alias("c"))
             tried = left.join(centre, "sig").select("id", "size", "comp", F.col("c.id").alias("id_b"), F.col("c.size").alias("size_b"), F.col("c.comp").alias("comp_b"))
         else:
-            other = left.select("sig", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-            tried = left.join(other, "sig").where("id < id_b")
-        new = table(checked(tried.where(fits & (F.col("comp") != F.col("comp_b"))).select(*pair).distinct(), sketches, rows), "near-links")
+            tried = pairs_left(left, rows, common, fits)
+        new = checked(tried.where(fits).select(*pair).distinct(), sketches, rows)
         if new.limit(1).count():
             links = new if links is None else table(links.unionByName(new), "near-links")
             labels = components(links)
             left = left.drop("comp").join(labels, "id", "left").select("sig", "id", "size", F.coalesce("comp", "id").alias("comp"))
         spread = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        left = table(left.join(spread, "sig", "left_semi"), "near-open")
+        was, left = opened, table(left.join(spread, "sig", "left_semi"), "near-open")
+        discard(was)
+        opened = left
         if not left.limit(1).count():
             break
     return spark.createDataFrame([], "id bigint, comp bigint") if labels is None else labels
