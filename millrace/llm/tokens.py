@@ -120,7 +120,7 @@ class Encoder:
         core = core if tail else piece
         if self.spaces_lead:
             return ("\n", core[1:], *tail) if core[0] == "\n" else (" " + core, *tail)
-        return (core.lower() if core.isascii() else core, *tail)
+        return (core.lower() if core.isascii() and "<|" not in core else core, *tail)  # special strings count only as they are written
 
     def _learn(self, pieces: set[str]) -> dict:
         """What the pieces give; those that are no safe pieces are left out."""
