@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, documents, id_text
 
-BUCKETS = 1 << 14
+#: THRESHOLD lies between the scores of trusted and of low-quality labels at this number; fewer draw all scores towards 0.
+BUCKETS = 1 << 16
 #: Added to each bucket's count.
 SMOOTH = 1.0
 THRESHOLD = -0.2
