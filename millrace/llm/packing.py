@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, partitions, text_steps
+from .common import documents, id_text, text_steps
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -83,12 +83,13 @@ class OpenBins:
 
 
 def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Add sequence_id and offset to pieces of at most `capacity`. n_pieces: about how many there are, which sets the number of tasks.
+    """Add sequence_id and offset to pieces of at most `capacity`. n_pieces: about how many there are, which alone sets the number
+    of tasks: each leaves bins of its own half filled.
 
     Sequences are gapless from 0. Repeated rows are packed each. No pieces, no sequences. The same pieces give the same
     sequences, as each task's pieces are sorted.
     """
-    n = max(partitions(cut.sparkSession), -(-n_pieces // TASK_PIECES))
+    n = max(1, -(-n_pieces // TASK_PIECES))
 
     def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
