@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _made: list[str] = []
 
@@ -39,11 +39,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: later steps start there, whichever executor is lost."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -57,8 +57,16 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input files for each of which a shuffle that is dealt out by number gets a partition at least.
+SHARE_BYTES = 32 << 20
+
+
+def partitions(docs: DataFrame) -> int:
+    """How many partitions to deal rows made from docs to: as the session says, and more if the files that docs reads are large."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # rows that are not from files count as endless
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // SHARE_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

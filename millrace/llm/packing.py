@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, path: str, spaces_lead: bool, capacity: int = CAPACI
     end, width = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        enc = encoder(path, spaces_lead, direct=True)
+        enc = encoder(path, spaces_lead)
         for batch in batches:
             for step in text_steps(batch):
                 rows = []

@@ -1,15 +1,16 @@
-"""Exact token ids from public tokenizer files, fast: texts are cut at safe boundaries and each distinct piece is encoded once.
+"""Exact token ids from public tokenizer files, fast: texts are cut at safe boundaries and what pieces give is remembered.
 
 A boundary is safe if the tokenizer can never join what stands on both sides of it:
 
 * dropped spaces (`word_bpe`): the vocabulary drops white space, so every space and line feed is one;
 * leading spaces (`byte_bpe`): a token may take one space in front, so a space between two non-spaces starts a piece,
   and so does a line feed between two non-spaces, which is a token of its own;
-* both: a letter followed by ASCII punctuation (without apostrophes) at the end of a piece.
+* both: a letter followed by ASCII punctuation (without apostrophes) at the end of a piece. Where the tokenizer normalises, only
+  an ASCII letter will do: what another letter becomes in lower case may end in a mark, which joins the punctuation.
 
-Texts with other white space are encoded whole. Pieces new to a worker go through `encode_batch` together, or, with
-`direct`, one by one, words of Latin letters straight to the library's BPE model, which their pre-tokens would reach unchanged.
-What they gave is kept in a table of bounded size, so a worker's memory does not grow with the corpus.
+Texts with other white space are encoded whole. Words of Latin letters go straight to the library's BPE model, which their
+pre-tokens would reach unchanged; other new pieces go through the whole tokenizer. A worker remembers a bounded number of pieces,
+the ones last used, so its memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker forgets all pieces when it has this many.
-KEPT_PIECES = 600_000
+#: Pieces in each of the two generations that a worker remembers.
+KEPT_PIECES = 150_000
 #: Pieces beyond this many characters are encoded but not remembered.
 LONGEST_KEPT = 64
 #: Punctuation that ends a piece after a letter and never joins it.
@@ -41,136 +42,107 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = BYTE_LETTERS[0x20]
 
 
-class Pieces(dict):
-    """What pieces give; one not known yet is encoded at once. None if it is no safe piece."""
+class Recent(dict):
+    """What `make` gives for keys, remembered in two generations: `age` makes the present one the older one when it is full, and what
+    is asked for from the older one moves over."""
 
-    def __init__(self, encode):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str):
-        found = self.encode(piece)
-        if len(piece) <= LONGEST_KEPT:
-            self[piece] = found
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = found
         return found
 
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
-    """ids(texts) gives for each text its token ids as little-endian unsigned 32-bit bytes; counts(texts) the numbers of them."""
+    """ids(texts) gives for each text its token ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, spaces_lead: bool, lengths_only: bool = False, direct: bool = False):
+    def __init__(self, path: str, spaces_lead: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.spaces_lead, self.lengths_only, self.direct = spaces_lead, lengths_only, direct
-        self.known: dict = Pieces(self._now) if direct else {}
-        self.cores: dict = {}
-
-    def _now(self, piece: str):
-        """One piece, by its parts."""
-        if self._unsafe(piece):
-            return None
-        found, cores = [], self.cores
-        for part in self._parts(piece):
-            got = cores.get(part)
-            if got is None:
-                got = self._one(part)
-                got = self._raw([part])[0] if got is None else got
-                if len(part) <= LONGEST_KEPT:
-                    cores[part] = got
-            found.append(got)
-        return sum(found) if self.lengths_only else b"".join(found)
-
-    def _raw(self, texts: list[str]) -> list:
+        self.tokenize, self.spaces_lead = self.tokenizer.model.tokenize, spaces_lead
+        self.known, self.tails = Recent(self._piece, KEPT_PIECES), Recent(self._whole, KEPT_PIECES // 10)
+        self.last_letter = "ɏ" if spaces_lead else "\x7f"
+
+    def _whole(self, text: str) -> bytes:
+        return self._batch([text])[0]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if self.lengths_only:
-            return [len(e) for e in found]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _one(self, part: str):
-        """A word of Latin letters by the BPE model itself; None if it is no such word."""
-        word = part[1:] if self.spaces_lead and part[:1] == " " else part
-        if not word.isalpha() or max(word) >= "\u0250":
-            return None
-        if not self.spaces_lead and (word != word.lower() or not unicodedata.is_normalized("NFC", word)):
-            return None
-        ids = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        return len(ids) if self.lengths_only else array("I", ids).tobytes()
-
-    def _pieces(self, text: str) -> list[str]:
-        """With leading spaces, a piece stands for itself with one space before, or without if it is the first or starts with a line feed."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes | None:
+        """With leading spaces, a piece stands for itself with one space before, or without if it starts with a line feed. None if it
+        is no safe piece."""
+        if piece.isascii() and piece.isalpha():  # most new pieces
+            if self.spaces_lead:
+                return array("I", [t.id for t in self.tokenize(SPACE_LETTER + piece)]).tobytes()
+            if piece.islower():
+                return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+            return self.known[piece.lower()]
         if self.spaces_lead:
-            return text.replace("\n", " \n").split(" ")
-        return text.replace("\n", " ").split(" ")
-
-    def _unsafe(self, piece: str) -> bool:
-        if not self.spaces_lead:
-            return False
-        body = piece[1:] if piece[:1] == "\n" else piece
-        return not body or body[0].isspace() or body[-1].isspace()
-
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """What is looked up or encoded for a piece: its core, and the punctuation behind it."""
+            body = piece[1:] if piece[:1] == "\n" else piece
+            if not body or body[0].isspace() or body[-1].isspace():
+                return None
         core = piece.rstrip(TAIL)
-        tail = (piece[len(core) :],) if core and len(core) < len(piece) and core[-1].isalpha() else ()
-        core = core if tail else piece
+        if core and len(core) < len(piece) and core[-1] <= self.last_letter and core[-1].isalpha():
+            return self.known[core] + self.tails[piece[len(core) :]]
         if self.spaces_lead:
-            return ("\n", core[1:], *tail) if core[0] == "\n" else (" " + core, *tail)
-        return (core.lower() if core.isascii() and "<|" not in core else core, *tail)  # special strings count only as they are written
-
-    def _learn(self, pieces: set[str]) -> dict:
-        """What the pieces give; those that are no safe pieces are left out."""
-        cut = {p: self._parts(p) for p in pieces if not self._unsafe(p)}
-        new = list({x for parts in cut.values() for x in parts if x not in self.cores})
-        fresh = dict(zip(new, self._raw(new), strict=True))
-        cores, empty = self.cores, 0 if self.lengths_only else b""
-        found = {p: sum(((fresh[x] if x in fresh else cores[x]) for x in parts), empty) if self.lengths_only else b"".join([fresh[x] if x in fresh else cores[x] for x in parts]) for p, parts in cut.items()}
-        cores.update((x, y) for x, y in fresh.items() if len(x) <= LONGEST_KEPT)
-        return found
+            return self.tails["\n"] + self._part(body) if piece[0] == "\n" else self._part(piece, " ")
+        if piece.isascii() and "<|" not in piece and piece != (low := piece.lower()):  # special strings count only as they are written
+            return self.known[low]
+        return self._part(piece)
+
+    def _part(self, word: str, lead: str = "") -> bytes:
+        """A word of Latin letters, with a space before or without, by the BPE model itself; others by the whole tokenizer."""
+        plain = word.isalpha() and (word.isascii() or max(word) <= "ɏ")
+        if plain and not self.spaces_lead:
+            plain = word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word))
+        if not plain:
+            return self._whole(lead + word)
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(SPACE_LETTER + letters if lead else letters)]).tobytes()
 
-    def _all(self, texts: list[str]) -> list[list]:
-        """For each text what its pieces gave, in order."""
-        cut = [self._pieces(t) for t in texts]
-        heads = [c.pop(0) for c in cut] if self.spaces_lead else []
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        if len(self.cores) > KEPT_PIECES:
-            self.cores.clear()
-        known = self.known
-        found = [list(map(known.__getitem__ if self.direct else known.get, c)) for c in cut]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        whole: set[int] = set(gaps) if self.direct else set()
-        if gaps and not self.direct:
-            learned = self._learn({p for i in gaps for p, x in zip(cut[i], found[i], strict=True) if x is None})
-            for i in gaps:
-                found[i] = [learned.get(p) if x is None else x for p, x in zip(cut[i], found[i], strict=True)]
-                if None in found[i]:
-                    whole.add(i)
-            known.update((p, x) for p, x in learned.items() if len(p) <= LONGEST_KEPT)
+    def ids(self, texts: list[str]) -> list[bytes]:
         if self.spaces_lead:
-            whole |= {i for i, h in enumerate(heads) if h and h[-1].isspace() or not h and cut[i]}
+            cut = [t.replace("\n", " \n").split(" ") for t in texts]
+            heads = [c.pop(0) for c in cut]
+        else:
+            cut, heads = [t.replace("\n", " ").split(" ") for t in texts], []
+        known = self.known
+        found = [list(map(known.__getitem__, c)) for c in cut]
+        known.age()
+        self.tails.age()
+        whole = {i for i, f in enumerate(found) if None in f}
+        whole |= {i for i, h in enumerate(heads) if h and h[-1].isspace() or not h and cut[i]}
+        if heads:
             plain = [i for i in range(len(texts)) if i not in whole]
-            for i, x in zip(plain, self._raw([heads[i] for i in plain]), strict=True):
+            for i, x in zip(plain, self._batch([heads[i] for i in plain]), strict=True):
                 found[i].insert(0, x)
-        rest = sorted(whole)
-        for i, x in zip(rest, self._raw([texts[i] for i in rest]), strict=True):
+        for i, x in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
             found[i] = [x]
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(f) for f in self._all(texts)]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return [sum(f) for f in self._all(texts)]
+        return [b"".join(f) for f in found]
 
 
-def encoder(path: str, spaces_lead: bool, lengths_only: bool = False, direct: bool = False) -> Encoder:
-    """One for each worker process, kept from task to task."""
-    key = (path, spaces_lead, lengths_only, direct)
+def encoder(path: str, spaces_lead: bool) -> Encoder:
+    """One for each worker process, kept from task to task; that of another file is dropped."""
+    key = (path, spaces_lead)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(*key)
     return _encoders[key]

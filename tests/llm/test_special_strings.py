@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -12,9 +13,8 @@ TEXTS = ["<|ENDOFTEXT|>", "a <|endoftext|> b", "x<|EndOfText|>.", "<|endoftext|>
 
 
 @pytest.mark.parametrize("name,spaces_lead", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-@pytest.mark.parametrize("direct", [False, True])
-def test_special_strings(name, spaces_lead, direct):
+def test_special_strings(name, spaces_lead):
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
-    want = [len(library.encode(t, add_special_tokens=False)) for t in TEXTS]
-    assert Encoder(path, spaces_lead, True, direct).counts(TEXTS) == want
+    want = [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, spaces_lead).ids(TEXTS)] == want
