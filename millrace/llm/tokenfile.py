@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, id_text, partitions, table, text_steps
+from .common import discard, documents, fresh_path, id_text, table, text_steps
 from .tokens import encoder
 
 MAGIC = b"MILLTOK1"
-#: Ids that a segment is meant to hold.
+#: Ids that a segment is meant to hold, and a range of documents that one task writes; and the most ranges: beyond it they grow,
+#: and a task writes more segments.
 SEGMENT_IDS = 4 << 20
+RANGE_IDS = 4 << 20
+MOST_RANGES = 10_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 """By control byte, the four lengths."""
@@ -92,36 +95,58 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, int, np.ndarray]:
     return [int(d) if t else None for d, t in zip(names, there, strict=True)], counts, before, ranks
 
 
+ENCODED = "doc_id bigint, width int, n bigint, ids binary, counts array<struct<id:bigint,n:bigint>>"
+_COUNTS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
+
 def _encode(path: str, spaces_lead: bool, end_id: int):
+    """A row per document, and at the end one with the numbers of the task's ids, by id."""
+
     def run(batches):
-        enc, end = encoder(path, spaces_lead, direct=True), end_id.to_bytes(4, "little")
+        enc, end, total = encoder(path, spaces_lead), end_id.to_bytes(4, "little"), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for step in text_steps(batch):
-                ids = [np.frombuffer(x + end, "<u4") for x in enc.ids(step.column("text").to_pylist())]
-                most = max((int(x.max()) for x in ids), default=0)
-                kind = "<u2" if most < 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array([2 if kind == "<u2" else 4] * len(ids), pa.int32()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "width", "ids"])
+                raw = [x + end for x in enc.ids(step.column("text").to_pylist())]
+                sizes, ids = [len(x) for x in raw], np.frombuffer(b"".join(raw), "<u4")
+                width = 2 if int(ids.max()) < 1 << 16 else 4
+                held = ids.astype(f"<u{width}")
+                found = np.bincount(held)
+                if len(found) > len(total):
+                    found[: len(total)] += total
+                    total = found
+                else:
+                    total[: len(found)] += found
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) // 4
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(ends * width), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array([width] * len(raw), pa.int32()), pa.array(np.diff(ends)), packed.cast(pa.binary()), pa.nulls(len(raw), _COUNTS)], names=["doc_id", "width", "n", "ids", "counts"])
+        held = np.flatnonzero(total)
+        counts = [{"id": i, "n": n} for i, n in zip(held.tolist(), total[held].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], _COUNTS)], names=["doc_id", "width", "n", "ids", "counts"])
 
     return run
 
 
-def _count(batches):
-    """The numbers of a task's ids, by id."""
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            n = np.bincount(np.frombuffer(ids, f"<u{width}"))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
-            total[: len(n)] += n
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["id", "n"])
+def part_of(edges: np.ndarray, doc_ids: pa.Array) -> np.ndarray:
+    """The range of each id: how many edges are below it; null is in the first."""
+    return np.where(np.asarray(doc_ids.is_null()), 0, np.searchsorted(edges, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
+
+
+def _part_sizes(edges: np.ndarray):
+    """The numbers of ids of each range in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            found = np.bincount(part_of(edges, batch.column("doc_id")), weights=batch.column("n").to_numpy(), minlength=len(edges) + 1)
+            held = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(found[held].astype(np.int64))], names=["part", "n"])
+
+    return run
 
 
 PACKED = "doc_id bigint, part int, n bigint, control binary, data binary"
 
 
-def _pack(by_id: np.ndarray):
+def _pack(by_id: np.ndarray, edges: np.ndarray):
     """Ids to ranks in variable length, document by document."""
 
     def run(batches):
@@ -130,7 +155,7 @@ def _pack(by_id: np.ndarray):
                 ids = [np.frombuffer(x, f"<u{w}") for w, x in zip(step.column("width").to_pylist(), step.column("ids").to_pylist(), strict=True)]
                 counts = np.array([len(x) for x in ids], dtype=np.int64)
                 control, data = pack_documents(np.concatenate(ids), counts, by_id)
-                yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("part"), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
+                yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(part_of(edges, step.column("doc_id")), pa.int32()), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
 
     return run
 
@@ -167,29 +192,30 @@ def _raw_files(df: DataFrame, column: str, path: str) -> None:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaces_lead: bool = True, end_id: int = 0) -> None:
     """Write the ids of every text and `end_id` to files under path, in ascending order of doc_id (null first).
 
-    Two passes over the encoded ids: one counts them, which gives the ranks, and the numbers of ids of each range of documents,
-    which give where a range starts; the other ranks them, sorts each range and writes its segments.
+    Ids are counted while texts are encoded, which gives the ranks and the number of ranges; the numbers of ids of each range of
+    documents give where a range starts. Then ids are ranked, and each range is sorted and written as segments.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    rows = id_text(docs)
-    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
-    edges = sorted(set(bounds or []))
-    part = F.coalesce(F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e < F.col("doc_id"))), F.lit(0)) if edges else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
-    encoded = table(rows.mapInArrow(_encode(tokenizer, spaces_lead, end_id), "doc_id bigint, width int, ids binary").withColumn("part", part.cast("int")), "token-ids")
-    counted = encoded.mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    order = [r["id"] for r in counted.orderBy(F.desc("n"), "id").select("id").collect()]
+    encoded = table(id_text(docs).mapInArrow(_encode(tokenizer, spaces_lead, end_id), ENCODED), "token-ids", "snappy")
+    counted = encoded.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = [(r["id"], r["n"]) for r in counted.orderBy(F.desc("n"), "id").collect()]
+    order, total = [i for i, _ in ranked], sum(n for _, n in ranked)
     by_id = np.zeros(max(order, default=0) + 1, dtype=np.uint32)
     by_id[order] = np.arange(len(order), dtype=np.uint32)
-    sizes = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum(F.length("ids") / F.col("width")).cast("long").alias("n")).collect()}
-    before, total = {}, 0
+
+    rows = encoded.where(F.col("counts").isNull())
+    n = min(MOST_RANGES, -(-total // RANGE_IDS))
+    bounds = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
+    edges = np.array(sorted(set(bounds or [])), dtype=np.int64)
+    sizes = {r["part"]: r["n"] for r in rows.select("doc_id", "n").mapInArrow(_part_sizes(edges), "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    before, at = {}, 0
     for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
+        before[p] = at
+        at += sizes[p]
     _raw_files(spark.createDataFrame([(bytearray(np.array(order, dtype="<u4").tobytes()),)], "ids binary"), "ids", f"{path}/vocabulary")
-    dealt = encoded.mapInArrow(_pack(by_id), PACKED).repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("doc_id")
+    dealt = rows.select("doc_id", "width", "ids").mapInArrow(_pack(by_id, edges), PACKED).repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("doc_id")
     _raw_files(dealt.mapInArrow(_segments(before), "segment binary"), "segment", f"{path}/segments")
+    discard(encoded)
 
 
 def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
