@@ -6,13 +6,14 @@ all of them without sorting every suffix of the corpus:
 1. Each window of `length` bytes has an anchor: the leftmost of its `SEED`-byte strings with the least hash. Equal windows have
    equal anchors at equal places, so a window can only be repeated if its anchor's seed occurs elsewhere. An anchor owns a run of
    windows, whose bytes are its context.
-2. Anchors are sorted by seed, digest of the context, and place. Of equal contexts all but the earliest are repeated from end
-   to end. The earliest one of a context goes on only if its seed has other contexts.
+2. Contexts that are equal from end to end are reduced to the earliest; the others are repeated whole. Those of one step of a task
+   are compared byte by byte; the first of each goes on with a 128-bit cryptographic digest (BLAKE2b) of its bytes, by which they
+   are compared between tasks. The earliest one of a context goes on only if its seed has other contexts.
 3. Those contexts are cut out of the texts and sorted seed by seed: their windows are suffixes, compared through prefix
    polynomial hashes, with a binary search for the common extension, in a merge sort that keeps the earlier of equals in front;
    equal neighbours are compared byte by byte. All but the first of equal windows are repeated.
-4. Seeds with more distinct contexts than one task should sort go window by window: windows are reduced to the first in each
-   batch, then grouped by digest with partial aggregation.
+4. The windows of a seed with very many distinct contexts are dealt to several such sorts: by the place of the seed in the window,
+   a few places each, and by the bytes that all windows with these places have in common, so that equal windows stay together.
 """
 
 from __future__ import annotations
@@ -26,36 +27,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, by_bytes, documents, id_text, partitions, pool, table, text_steps
+from .common import by_bytes, documents, id_text, partitions, pool, table, text_steps
 
 LENGTH = 100
 SEED = 32
-#: Distinct contexts of a seed beyond which its windows are grouped one by one instead of sorted together.
-SORTED_CONTEXTS = 2_000
+#: Distinct contexts of a seed beyond which its windows are dealt to several sorts, and the places of the seed that share one.
+SORTED_CONTEXTS, PLACES = 2_000, 8
+#: Bytes of text that are hashed at a time.
+STEP_BYTES = 2 << 20
 
-#: Odd bases of the polynomial hashes.
-FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: The odd base of the polynomial hashes.
+BASE = 0x9E3779B97F4A7C15
 _powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base and its inverse modulo 2**64 to the powers 0 to n - 1."""
-    if base not in _powers_of or len(_powers_of[base][0]) < n:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base and its inverse modulo 2**64 to the powers 0 to n - 1; kept until `forget_powers`."""
+    if BASE not in _powers_of or len(_powers_of[BASE][0]) < n:
         made = []
-        for x in (base, pow(base, -1, 1 << 64)):
+        for x in (BASE, pow(BASE, -1, 1 << 64)):
             steps = np.full(max(n, STEP_BYTES // 4), x, dtype=np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps))
-        _powers_of[base] = tuple(made)
-    up, down = _powers_of[base]
+        _powers_of[BASE] = tuple(made)
+    up, down = _powers_of[BASE]
     return up[:n], down[:n]
 
 
-def prefix_hashes(data: np.ndarray, base: int = FIRST) -> np.ndarray:
+def forget_powers() -> None:
+    """At the end of a task, so that idle workers hold nothing."""
+    _powers_of.clear()
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes, modulo 2**64, each byte times the base to its place."""
-    up, _ = _powers(len(data) + 1, base)
+    up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[1:], out=out[1:])
+    np.add(data, np.uint64(1), out=out[1:], dtype=np.uint64)
+    out[1:] *= up[1:]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -64,20 +74,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def substring_hashes(prefixes: np.ndarray, start: np.ndarray, size, base: int = FIRST) -> np.ndarray:
+def substring_hashes(prefixes: np.ndarray, start: np.ndarray, size) -> np.ndarray:
     """Hashes of the strings of `size` from `start`, the same wherever they stand."""
-    _, down = _powers(len(prefixes), base)
+    _, down = _powers(len(prefixes))
     return (prefixes[start + size] - prefixes[start]) * down[start]
 
 
+def window_hashes(prefixes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of `size`, mixed."""
+    _, down = _powers(len(prefixes))
+    out = prefixes[size:] - prefixes[:-size]
+    out *= down[: len(out)]
+    return mixed(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts in data: text number, place of each anchor, and the first and last window that it owns (places in data)."""
     none = (np.zeros(0, dtype=np.int64),) * 4
     n = len(data)
     if n < length:
         return none
-    hashes = mixed(substring_hashes(prefix_hashes(data), np.arange(n - seed + 1), seed))
+    hashes = window_hashes(prefix_hashes(data), seed)
     keyed = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
+    del hashes
     width, least, span = length - seed + 1, keyed, 1
     while span < width:
         step = min(span, width - span)
@@ -94,7 +113,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     return text[at[change]], owner[at[change]], at[change], at[last]
 
 
-ANCHOR = "seed bigint, digest bigint, doc_id bigint, packed bigint"
+ANCHOR = "seed bigint, digest bigint, more bigint, doc_id bigint, packed bigint"
 
 
 def _text_parts(offsets: np.ndarray, length: int):
@@ -108,28 +127,51 @@ def _text_parts(offsets: np.ndarray, length: int):
                 yield i, offsets[i] + np.array([at, min(at + STEP_BYTES + length - 1, offsets[j] - offsets[i])]), at
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of `size` from a and from b are equal, byte by byte."""
+    out, span = np.ones(len(a), dtype=bool), np.arange(size.max(initial=0))
+    for k in range(0, len(a), 1 << 14):
+        x, y, n = a[k : k + (1 << 14), None], b[k : k + (1 << 14), None], size[k : k + (1 << 14), None]
+        inside = np.minimum(span, n - 1)
+        out[k : k + (1 << 14)] = (data[x + inside] == data[y + inside]).all(axis=1)
+    return out
+
+
 def _anchor_rows(length: int, seed: int):
     """Anchors of all windows. A context that stands earlier in the same step too needs no comparison: it has no digest, and
     instead of its seed a number that spreads such rows over the tasks, so a passage that very many texts share burdens none."""
 
+    def part_rows(part: np.ndarray, ends: np.ndarray, skipped: int, names_of):
+        text, at, first, last = anchors(part, ends, length, seed)
+        if not len(at):
+            return None
+        prefixes = prefix_hashes(part)
+        seeds = mixed(substring_hashes(prefixes, at, seed)).view(np.int64)
+        lead, size = at - first, last - first + length
+        marks = mixed(substring_hashes(prefixes, first, size) + lead.astype(np.uint64))
+        packed = (first - ends[text] + skipped) << 16 | lead << 8 | (last - first)
+        names = names_of(text)
+        order = np.lexsort((packed, names, marks, seeds))
+        seeds, marks, names, packed, first, lead, size = (x[order] for x in (seeds, marks, names, packed, first, lead, size))
+        known = np.concatenate([[False], (seeds[1:] == seeds[:-1]) & (marks[1:] == marks[:-1]) & (size[1:] == size[:-1]) & (lead[1:] == lead[:-1])])
+        again = np.flatnonzero(known)
+        known[again] = same_bytes(part, first[again - 1], first[again], size[again])
+        fresh, raw = np.flatnonzero(~known), part.tobytes()
+        digests = b"".join([hashlib.blake2b(raw[a : a + n], digest_size=16, salt=salt).digest() for a, n, salt in zip(first[fresh].tolist(), size[fresh].tolist(), [bytes([x]) for x in lead[fresh].tolist()], strict=True)])
+        both = np.zeros((len(known), 2), dtype=np.int64)
+        both[fresh] = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+        seeds[known] = mixed(names[known].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(both[:, 0], mask=known), pa.array(both[:, 1], mask=known), pa.array(names), pa.array(packed)], names=["seed", "digest", "more", "doc_id", "packed"])
+
     def run(batches):
         for batch in batches:
             data, offsets = pool(batch.column("text"))
             ids = batch.column("doc_id")
             for i, ends, skipped in _text_parts(offsets, length):
-                part, ends = data[ends[0] : ends[-1]], ends - ends[0]
-                text, at, first, last = anchors(part, ends, length, seed)
-                if len(at):
-                    seeds = mixed(substring_hashes(prefix_hashes(part), at, seed)).view(np.int64)
-                    lead = at - first
-                    digests = mixed(mixed(substring_hashes(prefix_hashes(part, SECOND), first, last - first + length, SECOND)) + lead.astype(np.uint64)).view(np.int64)
-                    packed = (first - ends[text] + skipped) << 16 | lead << 8 | (last - first)
-                    names = ids.take(pa.array(i + text)).to_numpy()
-                    order = np.lexsort((packed, names, digests, seeds))
-                    seeds, digests, names, packed = seeds[order], digests[order], names[order], packed[order]
-                    known = np.concatenate([[False], (seeds[1:] == seeds[:-1]) & (digests[1:] == digests[:-1])])
-                    seeds[known] = mixed(names[known].view(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(digests, mask=known), pa.array(names), pa.array(packed)], names=["seed", "digest", "doc_id", "packed"])
+                found = part_rows(data[ends[0] : ends[-1]], ends - ends[0], skipped, lambda text: ids.take(pa.array(i + text)).to_numpy())  # noqa: B023
+                if found is not None:
+                    yield found
+        forget_powers()
 
     return run
 
@@ -140,7 +182,7 @@ PLACE = "seed bigint, doc_id bigint, packed bigint"
 def _resolve(batches):
     """Anchors in order of seed, digest, place. Rows without seed: contexts that stand earlier too. Rows with seed: the earliest
     of each context, if its seed has others."""
-    last_seed = last_digest = None
+    last = None  # seed and digest of the row before
     waiting = None  # seed, doc_id, packed and relatedness of the last earliest one
     for batch in batches:
         if not batch.num_rows:
@@ -152,10 +194,10 @@ def _resolve(batches):
             batch = batch.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
-        seed, digest, doc, packed = (batch.column(c).to_numpy() for c in ("seed", "digest", "doc_id", "packed"))
-        same_seed = np.concatenate([[last_seed is not None and seed[0] == last_seed], seed[1:] == seed[:-1]])
-        same = same_seed & np.concatenate([[last_digest is not None and digest[0] == last_digest], digest[1:] == digest[:-1]])
-        last_seed, last_digest = seed[-1], digest[-1]
+        seed, digest, more, doc, packed = (batch.column(c).to_numpy() for c in ("seed", "digest", "more", "doc_id", "packed"))
+        same_seed = np.concatenate([[last is not None and seed[0] == last[0]], seed[1:] == seed[:-1]])
+        same = same_seed & np.concatenate([[last is not None and (digest[0], more[0]) == last[1:]], (digest[1:] == digest[:-1]) & (more[1:] == more[:-1])])
+        last = seed[-1], digest[-1], more[-1]
         head = np.flatnonzero(~same)
         h_seed, h_doc, h_packed, h_tied = seed[head], doc[head], packed[head], same_seed[head]
         if waiting is not None:
@@ -251,11 +293,25 @@ def repeated(data: np.ndarray, prefixes: np.ndarray, suffixes: np.ndarray, group
     return out
 
 
-CONTEXT = "seed bigint, doc_id bigint, first bigint, n int, lead int, k bigint, context binary"
+CONTEXT = "seed bigint, doc_id bigint, first bigint, n int, lead int, context binary"
 
 
-def _contexts(length: int):
-    """Rows of (text, its places) to a row for each place with its bytes."""
+def _contexts(length: int, seed: int, sorted_contexts: int):
+    """Rows of (text, its places) to a row for each place with its bytes; for a seed with many contexts, to a row for each few
+    places of the seed in a window, and instead of the seed a number that stands for those places and the bytes they share."""
+
+    def rows_of(doc_id, raw: bytes, p: dict):
+        first, lead, last = p["packed"] >> 16, p["packed"] >> 8 & 255, p["packed"] & 255
+        if p["k"] <= sorted_contexts:
+            yield p["seed"], doc_id, first, last + 1, lead, raw[first : first + last + length]
+            return
+        for low in range((lead - last) // PLACES * PLACES, lead + 1, PLACES):
+            # windows lead - high to lead - low have the seed at places low to high; all of them hold the bytes `shared`
+            high = low + PLACES - 1
+            a, b = max(0, lead - high), min(last, lead - low)
+            shared = raw[max(0, first + lead - low) : first + lead - high + length]
+            group = xxhash.xxh3_64_intdigest(shared, seed=low + 1) ^ p["seed"] & (1 << 64) - 1
+            yield group - (1 << 64 if group >> 63 else 0), doc_id, first + a, b - a + 1, lead - a, raw[first + a : first + b + length]
 
     def run(batches):
         for batch in batches:
@@ -263,12 +319,10 @@ def _contexts(length: int):
                 rows = []
                 for doc_id, text, places in zip(step.column("doc_id").to_pylist(), step.column("text"), step.column("places").to_pylist(), strict=True):
                     raw = text.as_py().encode()
-                    for p in places:
-                        first, lead, more = p["packed"] >> 16, p["packed"] >> 8 & 255, p["packed"] & 255
-                        rows.append((p["seed"], doc_id, first, more + 1, lead, p["k"], raw[first : first + more + length]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    rows += [r for p in places for r in rows_of(doc_id, raw, p)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seed", "doc_id", "first", "n", "lead", "k", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seed", "doc_id", "first", "n", "lead", "context"])
 
     return run
 
@@ -319,48 +373,24 @@ def _sorted_windows(length: int):
                 size += len(r[5])
         if held and (out := spans(held)) is not None:
             yield out
-
-    return run
-
-
-def _windows(length: int):
-    """Every window of the contexts, as (digest, doc_id, start); without digest if an equal one stands before it in the batch."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                rows = sorted(zip(*(batch.column(c)[i : i + 2000].to_pylist() for c in ("doc_id", "first", "n", "context")), strict=True))
-                seen: set = set()
-                out = []
-                for doc_id, first, n, context in rows:
-                    for k in range(n):
-                        digest = xxhash.xxh3_128_digest(context[k : k + length])
-                        out.append((None if digest in seen else digest, doc_id, first + k))
-                        seen.add(digest)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["window", "doc_id", "start"])
+        forget_powers()
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, sorted_contexts: int = SORTED_CONTEXTS) -> DataFrame:
     """(doc_id, start, stop) of repeated byte strings, overlapping each other; docs: doc_id and text, ids distinct, no nulls."""
-    found = docs.mapInArrow(_anchor_rows(length, seed), ANCHOR).repartition(partitions(docs.sparkSession), "seed")
-    places = table(found.sortWithinPartitions("seed", "digest", "doc_id", "packed").mapInArrow(_resolve, PLACE), "suffix-places")
-    first, n = F.shiftright("packed", 16), F.col("packed").bitwiseAND(255) + 1
-    whole = places.where(F.col("seed").isNull()).select("doc_id", first.alias("start"), (first + n - 1 + length).alias("stop"))
+    n = partitions(docs)
+    found = docs.mapInArrow(_anchor_rows(length, seed), ANCHOR).repartition(n, "seed")
+    places = table(found.sortWithinPartitions("seed", "digest", "more", "doc_id", "packed").mapInArrow(_resolve, PLACE), "suffix-places")
+    first, more = F.shiftright("packed", 16), F.col("packed").bitwiseAND(255)
+    whole = places.where(F.col("seed").isNull()).select("doc_id", first.alias("start"), (first + more + length).alias("stop"))
 
     heads = places.where(F.col("seed").isNotNull())
     counted = heads.join(heads.groupBy("seed").agg(F.count(F.lit(1)).alias("k")), "seed")
     of_doc = counted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "packed", "k")).alias("places"))
-    contexts = table(docs.join(of_doc, "doc_id").mapInArrow(_contexts(length), CONTEXT), "suffix-contexts")
-    few = contexts.where(F.col("k") <= sorted_contexts).drop("k").repartition(partitions(docs.sparkSession), "seed")
-    in_few = few.sortWithinPartitions("seed", "doc_id", "first").mapInArrow(_sorted_windows(length), SPAN)
-    many = table(contexts.where(F.col("k") > sorted_contexts).mapInArrow(_windows(length), "window binary, doc_id bigint, start bigint"), "suffix-windows")
-    firsts = many.where(F.col("window").isNotNull()).groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("earliest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    later = many.join(firsts, "window").where(F.struct("doc_id", "start") > F.col("earliest")).select("doc_id", "start")
-    in_many = many.where(F.col("window").isNull()).select("doc_id", "start").unionByName(later).select("doc_id", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(in_few).unionByName(in_many)
+    contexts = docs.join(of_doc, "doc_id").mapInArrow(_contexts(length, seed, sorted_contexts), CONTEXT).repartition(n, "seed")
+    return whole.unionByName(contexts.sortWithinPartitions("seed", "doc_id", "first").mapInArrow(_sorted_windows(length), SPAN))
 
 
 def _merge_spans(batches):
@@ -403,12 +433,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     A byte goes if a string of `length` bytes over it also starts earlier; matches do not cross documents. Null text counts as
-    empty; shorter texts lose nothing. Texts of any length are treated whole. Rows that repeat an id
-    are taken to repeat its text: each is reported, one is searched. Rows without id lose nothing. Other columns are ignored.
+    empty; shorter texts lose nothing. Texts of any length are treated whole. Rows that repeat an id and its text are one document
+    and reported each; different texts of one id are documents of their own, in the order of their SHA-256. Rows without id lose
+    nothing and nothing is lost to them. An empty table gives no rows. Other columns are ignored.
     """
-    rows = id_text(docs)
-    spans = merged_spans(repeated_spans(distinct_ids(rows), length))
-    return rows.join(spans, "doc_id", "left").mapInArrow(_digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows, searched = keyed(id_text(docs))
+    spans = merged_spans(repeated_spans(searched, length)).withColumnRenamed("doc_id", "key")
+    return rows.join(spans, "key", "left").mapInArrow(_digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def whole_characters(raw: bytes, starts: list[int], stops: list[int]) -> tuple[list[int], list[int]]:
@@ -426,34 +457,45 @@ def whole_characters(raw: bytes, starts: list[int], stops: list[int]) -> tuple[l
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs (doc_id, text, n_chars and others), with what is repeated cut out of text, in whole characters, and n_chars
-    set anew where something was. Documents of which nothing is left are gone."""
-    rows = id_text(docs)
-    spans = merged_spans(repeated_spans(distinct_ids(rows), length))
+    """The rows of docs with what is repeated cut out of text, in whole characters, and n_chars, if docs has it, set anew where
+    something was. Documents of which nothing is left are gone. Null text stays as it is. Ids are as in `suffix_dedup`; columns of
+    any name but `millrace_runs` may be there."""
+    rows, searched = keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))) if docs.schema["text"].nullable else docs)
+    spans = merged_spans(repeated_spans(searched, length)).select(F.col("doc_id").alias("key"), F.struct("starts", "stops").alias("millrace_runs"))
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
-            texts, counts, keep = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist(), []
-            for k, (starts, stops) in enumerate(zip(batch.column("__starts").to_pylist(), batch.column("__stops").to_pylist(), strict=True)):
-                if starts and texts[k]:
-                    raw = texts[k].encode()
-                    texts[k] = kept_pieces(raw, *whole_characters(raw, starts, stops)).decode()
-                    counts[k] = len(texts[k])
-                keep.append(not starts or bool(texts[k]))
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(counts, batch.column("n_chars").type)}
+            texts, keep = batch.column("text").to_pylist(), []
+            counts = batch.column("n_chars").to_pylist() if "n_chars" in schema.names else None
+            for k, runs in enumerate(batch.column("millrace_runs").to_pylist()):
+                if runs and texts[k]:
+                    texts[k] = kept_pieces(texts[k].encode(), *whole_characters(texts[k].encode(), runs["starts"], runs["stops"])).decode()
+                    if counts:
+                        counts[k] = len(texts[k])
+                keep.append(not runs or bool(texts[k]))
+            new = {"text": pa.array(texts, pa.string())}
+            if counts is not None:
+                new["n_chars"] = pa.array(counts, batch.column("n_chars").type)
             out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in schema.names], names=schema.names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    joined = docs.join(spans.select(F.col("doc_id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "doc_id", "left")
-    return joined.select(*schema.names, "__starts", "__stops").mapInArrow(run, schema)
-
-
-def distinct_ids(rows: DataFrame) -> DataFrame:
-    """Rows with an id, one of each; a shuffle only if ids are repeated."""
-    rows = rows.where(F.col("doc_id").isNotNull())
-    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if again else rows
+    return rows.join(spans, "key", "left").select(*schema.names, "millrace_runs").mapInArrow(run, schema)
+
+
+def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text and others) with a column `key`, and doc_id and text of the documents that are searched, by key, ascending in
+    doc_id. The key is the id unless some id is repeated; rows without id have none."""
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
+    if not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        with_key = rows.withColumn("key", F.col("doc_id").cast("long"))
+        return with_key, with_key.where(F.col("key").isNotNull()).select(F.col("key").alias("doc_id"), "text")
+    marked = rows.withColumn("millrace_mark", F.sha2("text", 256))
+    own = marked.where(F.col("doc_id").isNotNull()).select("doc_id", "millrace_mark", "text").dropDuplicates(["doc_id", "millrace_mark"])
+    own = own.repartitionByRange(partitions(rows), "doc_id", "millrace_mark").sortWithinPartitions("doc_id", "millrace_mark")
+    own = table(own.withColumn("key", F.monotonically_increasing_id()), "suffix-keys")
+    with_key = marked.join(own.select("doc_id", "millrace_mark", "key"), ["doc_id", "millrace_mark"], "left").select(*rows.columns, "key")
+    return with_key, own.select(F.col("key").alias("doc_id"), "text")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

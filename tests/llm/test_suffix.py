@@ -85,3 +85,37 @@ def test_long_texts_come_in_overlapping_parts(monkeypatch):
     parts = list(suffix._text_parts(np.array([0, 10, 5010]), 100))
     windows = [w for i, ends, at in parts if i == 1 for w in range(at, at + int(ends[-1] - ends[0]) - 99)]
     assert windows == list(range(4901))
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b = "m" * 30 + "".join(map(str, range(60))), "".join(map(str, range(60))) + "n" * 30
+    rows = spark.createDataFrame([(2, a), (2, b), (2, b), (1, "z"), (None, a)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["kept_sha256"], r["n_removed"] > 0) for r in suffix.suffix_dedup(rows).collect()}
+    first, second = sorted((a, b), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = plain({0: "z", 1: first, 2: second})
+    assert got == {(1, want[0][3], False), (2, want[1][3], False), (2, want[2][3], True), (None, hashlib.sha256(a.encode()).hexdigest(), False)}
+
+
+def test_contexts_with_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """With polynomial hashes that are all alike, whatever is decided by them alone would come out wrong."""
+    data = np.frombuffer(b"abcabdabcabc", dtype=np.uint8)
+    at = np.array([0, 0, 3, 6])
+    assert suffix.same_bytes(data, at, np.array([3, 6, 9, 9]), np.array([3, 3, 3, 2])).tolist() == [False, True, False, True]
+    monkeypatch.setattr(suffix, "substring_hashes", lambda prefixes, start, size: np.zeros(len(start), dtype=np.uint64))
+    text = np.frombuffer(b"xxabcdexxabcdfxxabcde", dtype=np.uint8)
+    starts = np.array([2, 9, 16])
+    hit = suffix.repeated(text, suffix.prefix_hashes(text), starts, np.zeros(3, dtype=np.int64), 5)
+    assert hit.tolist() == [False, False, True]
+
+
+def test_many_contexts_of_one_seed(spark):
+    """A seed with many contexts: its windows are dealt to several sorts and all are found."""
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcdefgh ") for _ in range(95))
+    left = ["".join(rng.choice("01") for _ in range(20)) for _ in range(6)]
+    texts = {i: rng.choice(left) + core + rng.choice(left) for i in range(150)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for limit in (2000, 3):
+        spans = suffix.merged_spans(suffix.repeated_spans(rows, sorted_contexts=limit))
+        got = results(rows.join(spans, "doc_id", "left").mapInArrow(suffix._digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
+        assert got == plain(texts)
