@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, discard, documents, id_text, partitions, pool, table
 from .graph import components
-from .suffix import mixed, prefix_hashes, substring_hashes
+from .suffix import mixed
 
 WORDS = 5
 #: Sets up to this size use single features.
@@ -58,6 +58,17 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words low[start:end]: one to one for words of a length up to 8 bytes, XXH3 for longer ones."""
+    size, raw = ends - starts, low.tobytes() + bytes(8)
+    eight = np.ndarray(len(low) + 1, "<u8", raw, strides=(1,))[starts]  # the 8 bytes from each word's start
+    eight &= np.where(size < 8, (np.uint64(1) << (8 * np.minimum(size, 7)).astype(np.uint64)) - np.uint64(1), np.uint64((1 << 64) - 1))
+    out = mixed(mixed(eight) + size.astype(np.uint64) * _STEP)
+    long = np.flatnonzero(size > 8)
+    out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """For each text its set of shingles, as ascending 64-bit hashes."""
     n_texts = len(offsets) - 1
@@ -70,7 +81,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     ends = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
     if not len(starts):
         return [none] * n_texts
-    hashes = mixed(substring_hashes(prefix_hashes(low), starts, ends - starts) + (ends - starts).astype(np.uint64) * _STEP)
+    hashes = word_hashes(low, starts, ends)
     first = np.searchsorted(starts, offsets)  # each text's first word
     n = len(hashes) - words + 1
     rolled = none
@@ -335,7 +346,7 @@ def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     often = sample.mapInArrow(_all_signatures, "sig bigint").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     common = np.sort(np.array([r["sig"] for r in often.orderBy(F.desc("n"), "sig").limit(KEPT_COMMON).select("sig").collect()], dtype=np.int64).view(np.uint64))
 
-    dealt = rows.mapInArrow(_emit(common, ranges), SHARED).repartition(partitions(spark), "sig").sortWithinPartitions("sig", "doc_id")
+    dealt = rows.mapInArrow(_emit(common, ranges), SHARED).repartition(partitions(rows), "sig").sortWithinPartitions("sig", "doc_id")
     shared = dealt.mapInArrow(_shared, SHARED)
     reps = summaries.select("doc_id", "rep").distinct()
     groups = table(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("id"), "size").distinct(), "near-groups")

@@ -114,3 +114,20 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(100, 50), (100, 70), (70, 60)], "a bigint, b bigint")
     got = {r["id"]: r["comp"] for r in components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, 50: 50, 60: 50, 70: 50, 100: 50}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements hash alike modulo 2**64 for any odd base."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(1, f"{word} c d e f"), (2, f"{other} c d e f"), (3, f"{word.upper()}\tc d e f"), (4, word), (5, other)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearjoin.near_groups(rows).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5)}
+
+
+def test_word_hashes_see_every_byte_and_the_length():
+    words = [b"a", b"a\x00", b"ab", b"abcdefgh", b"abcdefgi", b"abcdefgh\x00", b"abcdefghi", b"", b"\x00", b"\x00\x00"]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    found = nearjoin.word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(found.tolist())) == len(words)
