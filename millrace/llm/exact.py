@@ -70,7 +70,7 @@ def _digests(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 INDEX = "shard int, sizes array<bigint>, bits binary, digests binary, keep_id array<bigint>, n_points array<bigint>, n array<bigint>"
-WINNER = "digest binary, keep_id bigint, group_size bigint"
+WINNER = "digest binary, keep_id bigint, group_size bigint, keep_points bigint"
 
 
 def _build(groups: pa.Table) -> pa.Table:
@@ -85,7 +85,7 @@ def _build(groups: pa.Table) -> pa.Table:
 
 def _better(a: tuple, b: tuple) -> tuple:
     """Of (code points, id) the one with more code points, then with the smaller id; an id of null comes last."""
-    return max(a, b, key=lambda x: (x[0], x[1] is not None, -(x[1] or 0)))
+    return max(a, b, key=lambda x: (x[0], x[1] is not None, ~(x[1] or 0)))
 
 
 def _probe(new: pa.Table, index: pa.Table) -> pa.Table:
@@ -107,7 +107,7 @@ def _probe(new: pa.Table, index: pa.Table) -> pa.Table:
             kept[s] = (*_better(kept[s][:2], fresh[i][:2]), kept[s][2] + fresh[i][2])
     groups = kept + [x for x, m in zip(fresh, member, strict=True) if not m]
     names = [bytes(d) for d in slots] + [bytes(d) for d in digests[~member]]
-    return pa.table({"digest": pa.array(names, pa.binary()), "keep_id": pa.array([g[1] for g in groups], pa.int64()), "group_size": pa.array([g[2] for g in groups], pa.int64())})
+    return pa.table({"digest": pa.array(names, pa.binary()), "keep_id": pa.array([g[1] for g in groups], pa.int64()), "group_size": pa.array([g[2] for g in groups], pa.int64()), "keep_points": pa.array([g[0] for g in groups], pa.int64())})
 
 
 def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
@@ -118,8 +118,8 @@ def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
     by default, half of the ids by their CRC. The result does not depend on it.
 
     Null text counts as empty, and all empty texts are one group. A document without id loses ties and stays only if its group
-    has no other best. Rows that repeat the same id and text count each in group_size and share their verdict. Other columns
-    are ignored. An empty table gives no rows.
+    has no other best. Rows that repeat the same id and text count each in group_size and share their verdict; of texts of one id
+    that are equal but for white space only the longest is kept. Any id will do, the least of all too. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     history = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2)) == 0 if history is None else history
@@ -127,19 +127,21 @@ def exact_dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
     rows = rows.select("doc_id", F.unhex(F.sha2(F.translate("text", BLANKS, ""), 256)).alias("digest"), F.length("text").cast("long").alias("n_points"), "old")
     rows = table(rows, "exact-digests")
     shards = max(1, -(-rows.count() // SHARD_DIGESTS))
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("low"))).alias("best")
+    low = F.bitwise_not("doc_id")  # turns the order round, and no id overflows
+    best = F.max(F.struct("n_points", low.alias("low"))).alias("best")
 
     def grouped(part: DataFrame) -> DataFrame:
         found = part.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n"))
         shard = F.pmod(F.crc32("digest"), F.lit(shards)).cast("int").alias("shard")
-        return found.select(shard, "digest", (-F.col("best.low")).alias("keep_id"), F.col("best.n_points").alias("n_points"), "n")
+        return found.select(shard, "digest", F.bitwise_not("best.low").alias("keep_id"), F.col("best.n_points").alias("n_points"), "n")
 
     index = grouped(rows.where("old")).groupBy("shard").applyInArrow(_build, INDEX)
     winners = grouped(rows.where("not old")).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, WINNER)
     repeated = table(winners.where("group_size > 1"), "exact-winners")
     out = rows.join(repeated, "digest", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("group_size").isNull() | keep.eqNullSafe(F.col("doc_id")) & (F.col("n_points") == F.col("keep_points"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
