@@ -2,8 +2,9 @@
 
 A task writes its records, each a gzip member, to one file; what Spark's text writer puts between rows is an empty gzip member,
 so a file is a valid sequence of members, on any store that Spark knows. Reading a file back gives one run of captures, sorted
-by URL key and time. The runs are dealt to ranges of (URL key, time, page) and each range merges its runs with a loser tree, so
-the ranges in order are one globally ordered history of captures.
+by URL key and time. The runs, written as a table, are dealt to ranges of (URL key, time, page) of a bounded number of captures,
+however many a site or a URL has, and each range merges its shares of the runs with a loser tree, so the ranges in order are one
+globally ordered history of captures.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from .common import fresh_path, partitions, table, text_steps
 LEAST_PAYLOAD = 0
 #: Captures have no time of their own in `pages`: the page's number of seconds after this.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+#: Payload bytes that an archive is meant to hold before compression, and captures that a range is meant to merge.
+ARCHIVE_BYTES = 128 << 20
+RANGE_CAPTURES = 50_000
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 CAPTURE = "run bigint, url_key string, captured timestamp_ntz, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, filename string, offset bigint, length bigint"
@@ -111,7 +115,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> N
     marks = table(rows.select("page_id", "url", "mark", F.octet_length("html").alias("size")), "warc-marks")
     first = marks.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("mark").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = marks.join(first, "mark").where(F.col("page_id") != F.col("first.page_id")).select("page_id", "mark", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
-    records = rows.join(again, ["page_id", "mark"], "left").mapInArrow(_write, "record binary")
+    payload = marks.agg(F.sum("size")).first()[0] or 0
+    dealt = rows.repartition(max(partitions(pages), -(-payload // ARCHIVE_BYTES)), "page_id", "mark")
+    records = dealt.join(again, ["page_id", "mark"], "left").mapInArrow(_write, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
@@ -178,15 +184,23 @@ class LoserTree:
             self.nodes[0] = winner
 
 
-def _merge(batches):
-    runs: dict[int, list[tuple]] = {}
+def ascending_runs(batches) -> list[list[tuple]]:
+    """The rows as they come, cut into runs in capture order: each block of an archive's run is one, and is not sorted again."""
+    runs: list[list[tuple]] = []
+    open_run: dict[int, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[0], []).append(row)
-    for run in runs.values():
-        run.sort(key=capture_order)  # a run's share may come in several blocks
+            held = open_run.get(row[0])
+            if held is None or capture_order(held[-1]) > capture_order(row):
+                held = open_run[row[0]] = []
+                runs.append(held)
+            held.append(row)
+    return runs
+
+
+def _merge(batches):
     out = []
-    for row in LoserTree([runs[r] for r in sorted(runs)], capture_order):
+    for row in LoserTree(ascending_runs(batches), capture_order):
         out.append(row)
         if len(out) == 10_000:
             yield _rows(out)
@@ -203,7 +217,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All captures of the archives: partition after partition, and row after row in each, by URL key, time and page."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     runs = table(files.mapInArrow(_read, CAPTURE), "warc-runs")
-    ranges = runs.repartitionByRange(partitions(spark), "url_key", "captured", "page_id")
+    n = max(1, -(-runs.count() // RANGE_CAPTURES))
+    ranges = runs.repartitionByRange(n, "url_key", "captured", "page_id")
     return ranges.mapInArrow(_merge, CAPTURE)
 
 
@@ -211,7 +226,8 @@ def archive_round_trip(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFram
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, from archives written and read back.
 
     Null html is an empty payload, and empty payloads equal each other. Null URLs are empty. A page without id is always a
-    response. Rows that repeat the smallest id of a payload are responses both. An empty table gives no rows.
+    response. Rows that repeat the smallest id of a payload are responses both. Payloads of any length are written whole. Columns
+    other than page_id, url and html are ignored. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")

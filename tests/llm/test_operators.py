@@ -59,6 +59,14 @@ def test_exact_dedup_null_ids_and_repeated_rows(spark):
     assert got == sorted([(None, 2, 4, False), (3, 2, 4, False), (3, 2, 4, False), (2, 2, 4, True), (None, None, 1, True)], key=str)
 
 
+def test_exact_dedup_least_id_and_two_texts_of_one_id(spark):
+    least = -(1 << 63)
+    rows = spark.createDataFrame([(least, "a b"), (3, "ab"), (least + 1, "a b"), (5, "c d"), (5, "c  d"), (6, "c d")], "doc_id bigint, text string")
+    for history in (None, F.lit(True), F.lit(False)):
+        got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_dedup(rows, history).collect())
+        assert got == [(least, least, 3, True), (least + 1, least, 3, False), (3, least, 3, False), (5, 5, 3, False), (5, 5, 3, True), (6, 5, 3, False)]
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     rng = np.random.default_rng(5)
     digests = rng.integers(0, 256, (5000, 32), dtype=np.uint8)
@@ -91,9 +99,8 @@ def test_encoder_on_random_texts(name, lead):
     bits = [" ", "  ", "\n", "a", "Bar", "'s", "1", "é", "́", "<|endoftext|>", "\t", ".", "!!", "|", "\x1c", " ", "😀", "Σ", "foo "]
     texts = {i: "".join(rng.choice(bits) for _ in range(rng.randrange(14))) for i in range(1500)}
     want = plain_ids(name, texts)
-    for direct in (False, True):
-        got = Encoder(tok.path(name), lead, direct=direct).ids(list(texts.values()))
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(want.values())
+    got = Encoder(tok.path(name), lead).ids(list(texts.values()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(want.values())
 
 
 def test_packing(docs, texts, empty):
@@ -184,11 +191,11 @@ def test_language_id(spark, docs, empty, small):
 
 
 def test_language_backs_off_to_shorter_grams():
-    model = language.Model(["a", "b"], {"yes": [-1.0, -2.0]}, {5: {"<xyz>": [-3.0, -1.0]}, 1: {"q": [-5.0, -6.0]}})
-    assert model.vector("yes") == [-1, -2]
-    assert model.vector("xyz") == [-3, -1]
-    assert model.vector("qqq!") == [-5, -6]
-    assert model.vector("w") == [0, 0] and model.vector("12") is None
+    model = language.Model.named(["a", "b"], {"yes": [-1.0, -2.0]}, {5: {"<xyz>": [-3.0, -1.0]}, 1: {"q": [-5.0, -6.0]}})
+    got, telling = model.vectors(["yes", "xyz", "qqq", "w"])
+    assert got.tolist() == [[-1, -2], [-3, -1], [-5, -6], [0, 0]]
+    assert telling.tolist() == [True, True, False, False]
+    assert language.Scorer(model).score(["w", "12", None, "", "yes"])[:4] == [("a", 0.5, 0.0), ("und", 0.0, 0.0), ("und", 0.0, 0.0), ("und", 0.0, 0.0)]
 
 
 def test_token_file(docs, texts, empty):
@@ -234,6 +241,23 @@ def test_warc(spark, small):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_hot_payload_large_payload_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 20)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 16)
+    large = "".join(random.Random(6).choice("abcdefgh<> é") for _ in range(3_000_000))
+    rows = [(i, "http://a.org/one" if i % 3 else f"http://b{i}.org/", "<p>same</p>" if i % 4 else f"<p>{i}</p>") for i in range(200)] + [(900, "http://big.org/", large), (901, "http://big.org/", large)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"mark": F.lit(0), "run": F.lit("x")})
+    got = warc.archive_round_trip(pages).collect()
+    first = {}
+    for p, _, h in sorted(rows):
+        first.setdefault(h, p)
+    want = {p: (len(h.encode()), None if first[h] == p else first[h]) for p, _, h in rows}
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in got} == want
+    order = [warc.capture_order(tuple(r)) for r in got]
+    assert order == sorted(order)
+    assert len({r["filename"] for r in got}) > 1
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in range(9):
