@@ -25,7 +25,7 @@ def by_row(docs: DataFrame) -> DataFrame:
     if not odd:
         return docs
     order = [F.col("own_id").isNull(), F.col("own_id"), F.xxhash64("text"), F.col("at")]
-    dealt = docs.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = docs.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     return table(dealt.withColumn("doc_id", F.monotonically_increasing_id()).drop("at"), "pipeline-rows")
 
 
