@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def canonical_json(record: Column) -> Column:
-    """JSON of a struct or map with nulls kept."""
-    return F.to_json(record, {"ignoreNullFields": "false"})
+    """JSON of a struct or map with sorted keys, also of what is nested in it, and nulls kept."""
+    return sorted_json(F.to_json(record, {"ignoreNullFields": "false"}))
+
+
+def sorted_json(text: Column) -> Column:
+    """JSON text with sorted keys at all depths and no spaces."""
+    return F.to_json(F.parse_json(text))
 
 
 def content_hash(*parts: Column, separator: str = "\x1f") -> Column:

@@ -44,10 +44,16 @@ def utc_text(ts: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """A sortable struct of a three-part version with optional prerelease; a release sorts after its prereleases."""
-    core, pre = F.split_part(version, F.lit("-"), F.lit(1)), F.regexp_extract(version, "-(.*)$", 1)
-    parts = [F.split_part(core, F.lit("."), F.lit(i)).cast("int").alias(f"p{i}") for i in (1, 2, 3)]
-    return F.struct(*parts, (pre == "").alias("release"), pre.alias("pre"))
+    """A sortable struct of a three-part version with optional prerelease; build metadata does not count.
+
+    A release sorts after its prereleases. Prerelease identifiers are compared from left to right: numbers by value and before
+    texts, texts by character, and a list before the longer ones that it begins.
+    """
+    plain = F.split_part(version, F.lit("+"), F.lit(1))
+    core, pre = F.regexp_extract(plain, "^([^-]*)", 1), F.regexp_extract(plain, "-(.*)$", 1)
+    parts = [F.split_part(core, F.lit("."), F.lit(i)).cast("decimal(38,0)").alias(f"p{i}") for i in (1, 2, 3)]
+    named = lambda x: F.struct((~x.rlike("^[0-9]+$")).alias("is_text"), F.when(x.rlike("^[0-9]+$"), x.cast("decimal(38,0)")).alias("number"), x.alias("text"))
+    return F.struct(*parts, (pre == "").alias("release"), F.transform(F.split(pre, r"\."), named).alias("pre"))
 
 
 def scope_matches(pattern: Column, value: Column) -> Column:

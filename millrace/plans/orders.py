@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import scope_matches, version_key
@@ -56,15 +57,16 @@ def first_completed(spark, d):
 
 
 def bounded_listing(spark, d):
-    """Each customer's first five orders, and whether there were more."""
-    keys = F.array_sort(F.collect_list("o_orderkey"))
-    g = read(spark, d, "orders").groupBy("o_custkey").agg(keys.alias("k"))
-    return g.select("o_custkey", F.array_join(F.slice("k", 1, 5).cast("array<string>"), ",").alias("listed"), (F.size("k") > 5).alias("truncated"))
+    """Each customer's first five orders, and whether there were more: six rows of each are read at most."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = read(spark, d, "orders").select("o_custkey", "o_orderkey", place.alias("place")).where("place <= 6")
+    keys = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("o_orderkey"))))
+    return first.groupBy("o_custkey").agg(F.array_join(keys.cast("array<string>"), ",").alias("listed"), (F.max("place") > 5).alias("truncated"))
 
 
 def key_set_operations(spark, d):
     c, o = read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    idle, both, either = c.exceptAll(c.join(o, "k", "left_semi")), c.intersect(o), c.union(o).distinct()
+    idle, both, either = c.join(o, "k", "left_anti"), c.intersect(o), c.union(o).distinct()
     return idle.withColumn("part", F.lit("idle")).union(both.withColumn("part", F.lit("both"))).union(either.withColumn("part", F.lit("either"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("k").cast("long").alias("key_sum"))
 
 
@@ -80,9 +82,9 @@ def signed_rollup(spark, d):
     e = read(spark, d, "events")
     twice = e.unionByName(e.where("event_id % 5 = 0"))
     amount = F.when(F.col("event_type") == "purchase", F.col("value")).when(F.col("event_type") == "error", -F.col("value")).otherwise(0.0)
-    day = e.agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("lo")).first()["lo"] or "1970-01-01"
-    until = f"{int(day[:4]) + 5}-{day[5:7]}-01"
-    return tasks.signed_rollup(twice, "user_id", "event_id", "ts", F.round(amount, 2), day, until)
+    since = e.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz")).scalar()
+    until = e.agg((F.date_trunc("month", F.min("ts")) + F.expr("interval 5 years")).cast("timestamp_ntz")).scalar()
+    return tasks.signed_rollup(twice, "user_id", "event_id", "ts", F.round(amount, 2), since, until)
 
 
 def first_latest_orders(spark, d):
@@ -108,9 +110,11 @@ def place_closure(spark, d):
 
 
 def half_even_prices(spark, d):
-    p = read(spark, d, "part")
-    exact = (F.col("p_partkey") * 125).cast("decimal(20,3)") / F.lit(1000).cast("decimal(5,0)")
-    return p.select("p_partkey", tasks.half_even(exact, 2).cast("decimal(20,2)").alias("rounded"))
+    """Eleven decimal digits: halves exactly, and just above them."""
+    k = F.col("p_partkey").cast("decimal(20,0)")
+    units = k * F.when(F.col("p_partkey") % 2 == 0, F.lit(12500000000)).otherwise(F.lit(12500000001)).cast("decimal(12,0)")
+    exact = units.cast("decimal(20,0)") * F.lit("0.00000000001").cast("decimal(11,11)")
+    return read(spark, d, "part").select("p_partkey", tasks.half_even(exact, 2).cast("decimal(20,2)").alias("rounded"))
 
 
 def scope_verdicts(spark, d):
@@ -124,14 +128,14 @@ def scope_verdicts(spark, d):
 def version_order(spark, d):
     k = F.col("p_partkey")
     v = F.concat_ws(".", (k % 3).cast("string"), (k % 12).cast("string"), (k % 30).cast("string"))
-    v = F.when(k % 4 == 0, F.concat(v, F.lit("-beta"))).when(k % 4 == 1, F.concat(v, F.lit("-alpha"))).otherwise(v)
-    p = read(spark, d, "part").select("p_brand", v.alias("v"))
+    pre = F.element_at(F.array(*(F.lit(x) for x in ("-alpha", "-alpha.2", "-alpha.10", "-beta", "-1", ""))), (k % 6 + 1).cast("int"))
+    p = read(spark, d, "part").select("p_brand", F.concat(v, pre).alias("v"))
     return p.groupBy("p_brand").agg(F.max_by("v", version_key(F.col("v"))).alias("newest"), F.min_by("v", version_key(F.col("v"))).alias("oldest"))
 
 
 def retry_delays(spark, d):
     s = read(spark, d, "supplier")
-    return s.select("s_suppkey", F.array_join(tasks.backoff(F.col("s_suppkey") % 5 + 1, 3, 100, 6).cast("array<string>"), ",").alias("delays"))
+    return s.select("s_suppkey", F.array_join(tasks.backoff(F.col("s_suppkey") % 5 + 1, 3, 100, 80).cast("array<string>"), ",").alias("delays"))
 
 
 def layered_settings(spark, d):
@@ -145,7 +149,6 @@ QUERIES = {f.__name__: f for f in (layered_status_counts, layered_status_rollup,
 
 _LAYERED = """SELECT year(o_orderdate)::INT AS year, u.layer, u.status, count(*) AS n FROM orders, LATERAL (SELECT 'status' AS layer, o_orderstatus AS status UNION ALL SELECT 'priority', o_orderpriority) u
     WHERE u.status IS NOT NULL GROUP BY ALL"""
-_VERSION = "(split_part(split_part(v, '-', 1), '.', 1)::INT, split_part(split_part(v, '-', 1), '.', 2)::INT, split_part(split_part(v, '-', 1), '.', 3)::INT, NOT contains(v, '-'), v)"
 SQL = {
     "layered_status_counts": _LAYERED,
     "layered_status_rollup": f"SELECT layer, status, sum(n)::BIGINT AS n FROM ({_LAYERED}) GROUP BY ALL",
@@ -172,13 +175,14 @@ SQL = {
         SELECT CASE WHEN u > 0 THEN 'unknown item' WHEN s > 0 THEN 'shortfall' ELSE 'allocated' END AS status, count(*) AS n, sum(s)::BIGINT AS n_short FROM j GROUP BY 1""",
     "place_closure": """WITH RECURSIVE e AS (SELECT 'region:' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
         c AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child) SELECT child, ancestor, depth FROM c""",
-    "half_even_prices": "SELECT p_partkey, round_even((p_partkey * 125)::DECIMAL(20,3) / 1000, 2)::DECIMAL(20,2) AS rounded FROM part",
+    "half_even_prices": """WITH v AS (SELECT p_partkey, p_partkey::HUGEINT * CASE WHEN p_partkey % 2 = 0 THEN 12500000000 ELSE 12500000001 END AS u FROM part), q AS (SELECT p_partkey, u // 1000000000 AS q, u % 1000000000 AS r FROM v)
+        SELECT p_partkey, ((q + CASE WHEN r > 500000000 OR (r = 500000000 AND q % 2 = 1) THEN 1 ELSE 0 END)::DECIMAL(20,0) * 0.01::DECIMAL(3,2))::DECIMAL(20,2) AS rounded FROM q""",
     "scope_verdicts": """WITH r(effect, scope, action) AS (VALUES ('allow', '*', 'view'), ('allow', 'users:1', '*'), ('deny', 'users:11', 'purchase'), ('deny', '*', 'error'), ('allow', 'users', 'signup')),
         e AS (SELECT event_id, 'users:' || substr(user_id::VARCHAR, 1, 2) || ':' || user_id AS s, event_type AS a FROM events),
         j AS (SELECT event_id, count_if(effect = 'deny') AS d, count_if(effect = 'allow') AS al FROM e LEFT JOIN r ON (scope = '*' OR scope = s OR starts_with(s, scope || ':')) AND (action = '*' OR action = a OR starts_with(a, action || ':')) GROUP BY event_id)
         SELECT CASE WHEN d > 0 THEN 'deny' WHEN al > 0 THEN 'allow' ELSE 'deny' END AS verdict, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM j GROUP BY 1""",
-    "version_order": f"""WITH p AS (SELECT p_brand, (p_partkey % 3) || '.' || (p_partkey % 12) || '.' || (p_partkey % 30) || CASE p_partkey % 4 WHEN 0 THEN '-beta' WHEN 1 THEN '-alpha' ELSE '' END AS v FROM part)
-        SELECT p_brand, arg_max(v, {_VERSION}) AS newest, arg_min(v, {_VERSION}) AS oldest FROM p GROUP BY p_brand""",
-    "retry_delays": "SELECT s_suppkey, array_to_string(list_transform([1, 3, 9, 27, 81, 243], lambda f: least((s_suppkey % 5 + 1) * f, 100)), ',') AS delays FROM supplier",
+    "version_order": """WITH p AS (SELECT p_brand, (p_partkey % 3) || '.' || (p_partkey % 12) || '.' || (p_partkey % 30) || ['-alpha', '-alpha.2', '-alpha.10', '-beta', '-1', ''][(p_partkey % 6)::INT + 1] AS v,
+          (p_partkey % 3) * 1000000 + (p_partkey % 12) * 10000 + (p_partkey % 30) * 100 + [1, 2, 3, 4, 0, 5][(p_partkey % 6)::INT + 1] AS place FROM part) SELECT p_brand, arg_max(v, place) AS newest, arg_min(v, place) AS oldest FROM p GROUP BY p_brand""",
+    "retry_delays": "SELECT s_suppkey, array_to_string(list_transform(range(80), lambda i: CASE WHEN i > 5 THEN 100 ELSE least((s_suppkey % 5 + 1) * [1, 3, 9, 27, 81, 243][i + 1], 100) END), ',') AS delays FROM supplier",
     "layered_settings": "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 7 = 0 THEN 'env' END, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, 'default') AS setting FROM customer",
 }

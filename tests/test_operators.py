@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +137,14 @@ def test_allocation_closure_and_verdicts(spark):
     chain = frame(spark, [("a", "b"), ("b", "c")], "child string, parent string")
     assert rows(tasks.closure(chain)) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
     with pytest.raises(ValueError):
-        tasks.closure(frame(spark, [("a", "b"), ("b", "a")], "child string, parent string"), most=5)
+        tasks.closure(frame(spark, [("a", "b"), ("b", "a")], "child string, parent string"))
+    diamond = frame(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("a", "e")], "child string, parent string")
+    assert rows(tasks.closure(diamond)) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 1), ("b", "d", 1), ("b", "e", 2), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1)]
+    long = frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(12)], "child string, parent string")
+    names = frame(spark, [("n12",), ("z",)], "name string")
+    assert rows(tasks.resolved(names, long, frame(spark, [("n3",), ("z",)], "name string"))) == [("n3", "n12"), ("z", "z")]
+    with pytest.raises(Exception, match="no such name"):
+        tasks.resolved(names, long, frame(spark, [("nowhere",)], "name string")).collect()
     rules = frame(spark, [("allow", "x"), ("deny", "y")], "effect string, p string")
     who = frame(spark, [(1, "x"), (2, "y"), (3, "q")], "k int, v string")
     assert rows(tasks.decided(who, rules, F.col("p") == F.col("v"), "k")) == [(1, "allow"), (2, "deny"), (3, "deny")]
@@ -153,3 +162,20 @@ def test_jsonl_round_trip(spark, tmp_path):
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="manifest"):
         jsonl.read_jsonl(spark, path, df.schema)
+
+
+def test_rollup_conflicts_and_rounding_at_the_own_scale(spark):
+    once = frame(spark, [(1, "u", 5, "5.00"), (1, "u", 5, "5.00"), (2, "u", 6, "0.10")], "e int, g string, t int, a string")
+    assert [tuple(r) for r in tasks.signed_rollup(once, "g", "e", "t", F.col("a").cast("decimal(38,2)"), F.lit(0), F.lit(9)).collect()] == [("u", 2, Decimal("5.10"))]
+    conflict = frame(spark, [(1, "u", 5, "5.00"), (1, "u", 5, "7.00")], "e int, g string, t int, a string")
+    with pytest.raises(Exception, match="in conflict"):
+        tasks.signed_rollup(conflict, "g", "e", "t", F.col("a").cast("decimal(38,2)"), F.lit(0), F.lit(1)).collect()
+    exact = frame(spark, [("0.12500000001",), ("0.125",), ("0.135",), ("-0.125",)], "a string")
+    assert [str(r[0]) for r in exact.select(tasks.half_even(F.col("a").cast("decimal(38,18)"), 2)).collect()] == ["0.13", "0.12", "0.14", "-0.12"]
+
+
+def test_sorted_json_at_all_depths(spark):
+    from millrace.functions.hashing import canonical_json, sorted_json
+
+    got = frame(spark, [(1,)], "a int").select(canonical_json(F.struct(F.lit(1).alias("b"), F.lit(None).cast("int").alias("a"), F.struct(F.lit("y").alias("z"), F.lit(2).alias("c")).alias("m"))), sorted_json(F.lit('{"b": [1, {"d": 1, "c": "é"}], "a": null}'))).first()
+    assert tuple(got) == ('{"a":null,"b":1,"m":{"c":2,"z":"y"}}', '{"a":null,"b":[1,{"c":"é","d":1}]}')
