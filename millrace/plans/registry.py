@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import orders, reviews, sequences
+from . import attempts, orders, reviews, sequences, transforms
 
 FLAGSHIP = "review_gate_counts"
-QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES
-SQL = reviews.SQL | sequences.SQL | orders.SQL
+QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES
+SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL
