@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, documents, id_text, table
 
 #: Distinct digests that a shard of the index is meant to hold.
-SHARD_DIGESTS = 100_000
+SHARD_DIGESTS = 50_000
 #: Bit positions per digest on each level.
 ROOM = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)

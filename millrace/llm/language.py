@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, table, text_steps
+from .common import discard, documents, table, text_steps, tidied
 
 #: Rows per language, about, that the model is fitted on: the one bound on what is learned.
 SAMPLE_ROWS = 4_000
@@ -26,7 +26,7 @@ UNKNOWN = "und"
 #: What a count of nothing is worth.
 SMOOTH = 0.5
 #: A task forgets the pieces it has scored when it has this many.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 100_000
 
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -59,7 +59,7 @@ def _count_words(batches):
 
 def _count_names(batches):
     """Words, and their n-grams as often as the words, by hash."""
-    for batch in batches:
+    for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
         found: dict[tuple[str, int, str], int] = {}
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
             found[lang, WORD, word] = found.get((lang, WORD, word), 0) + n
@@ -126,8 +126,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         return Model([], {})
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))]), F.col("lang"))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    words = table(sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    names = words.mapInArrow(_count_names, "lang string, ord int, name bigint, n bigint").groupBy("lang", "ord", "name").agg(F.sum("n").alias("n"))
+    words = table(sample.mapInArrow(tidied(_count_words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    names = words.mapInArrow(tidied(_count_names), "lang string, ord int, name bigint, n bigint").groupBy("lang", "ord", "name").agg(F.sum("n").alias("n"))
     counted = names.toArrow()
     discard(words)
     langs = sorted(sizes)
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 found = scorer.score(step.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id bigint, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, telling: float = 0.5) -> DataFrame:
@@ -227,7 +227,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, telling: float =
                 found = scorer.score(step.column("text").to_pylist())
                 yield step.filter(pa.array([lang != UNKNOWN and score >= least and share >= telling for lang, score, share in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(doc_id="doc_id"):

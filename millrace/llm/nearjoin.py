@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, documents, id_text, partitions, pool, table
+from .common import by_bytes, discard, documents, id_text, partitions, pool, table, tidied
 from .graph import components
 from .suffix import mixed
 
@@ -289,11 +289,11 @@ def _sift(batches):
 def checked(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
     """A table of the pairs (a, b) that link. sketches: id, size and sketch of each set; only what they leave is read as text again."""
     ends = [sketches.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-    left = table(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_sift, "a bigint, b bigint"), "near-pairs")
+    left = table(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(tidied(_sift), "a bigint, b bigint"), "near-pairs")
     ids = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    sets = table(of_ids(rows, ids).mapInArrow(_sets_rows, "id bigint, features binary").dropDuplicates(["id"]), "near-sets")
+    sets = table(of_ids(rows, ids).mapInArrow(tidied(_sets_rows), "id bigint, features binary").dropDuplicates(["id"]), "near-sets")
     fa, fb = (sets.select(F.col("id").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
-    found = table(left.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_check, "a bigint, b bigint"), "near-links")
+    found = table(left.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(tidied(_check), "a bigint, b bigint"), "near-links")
     discard(left, sets)
     return found
 
@@ -311,7 +311,7 @@ def pairs_left(left: DataFrame, rows: DataFrame, common: np.ndarray, fits: Colum
     tried = few.join(other, "sig").where(fits & (F.col("id") < F.col("id_b"))).select(*sides)
 
     many = left.where(is_any).select("id", "size", "comp").distinct()
-    kinds = of_ids(rows, many.select(F.col("id").alias("doc_id"))).mapInArrow(_classes(common), "id bigint, n_rare int, kind bigint, head array<bigint>")
+    kinds = of_ids(rows, many.select(F.col("id").alias("doc_id"))).mapInArrow(tidied(_classes(common)), "id bigint, n_rare int, kind bigint, head array<bigint>")
     many = table(many.join(kinds.dropDuplicates(["id"]), "id"), "near-lacking")
 
     def can(usual: Column, n_rare: Column, usual_b: Column, n_rare_b: Column) -> Column:
@@ -343,11 +343,11 @@ def near_links(rows: DataFrame, summaries: DataFrame) -> DataFrame:
     poor = [r["n_shingles"] for r in summaries.where("poor").select("n_shingles").distinct().collect()]
     ranges = [(3 * n // 4, 4 * n // 3 + 1) for n in poor]
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0)
-    often = sample.mapInArrow(_all_signatures, "sig bigint").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    often = sample.mapInArrow(tidied(_all_signatures), "sig bigint").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     common = np.sort(np.array([r["sig"] for r in often.orderBy(F.desc("n"), "sig").limit(KEPT_COMMON).select("sig").collect()], dtype=np.int64).view(np.uint64))
 
-    dealt = rows.mapInArrow(_emit(common, ranges), SHARED).repartition(partitions(rows), "sig").sortWithinPartitions("sig", "doc_id")
-    shared = dealt.mapInArrow(_shared, SHARED)
+    dealt = rows.mapInArrow(tidied(_emit(common, ranges)), SHARED).repartition(partitions(rows), "sig").sortWithinPartitions("sig", "doc_id")
+    shared = dealt.mapInArrow(tidied(_shared), SHARED)
     reps = summaries.select("doc_id", "rep").distinct()
     groups = table(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("id"), "size").distinct(), "near-groups")
     sketches = summaries.where(F.col("doc_id") == F.col("rep")).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["id"])
@@ -386,7 +386,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     component_id null. Texts of any length are read whole. Other columns are ignored.
     """
     rows = id_text(docs)
-    found = table(rows.mapInArrow(_summaries, "doc_id bigint, n_shingles bigint, digest binary, poor boolean, sketch binary"), "near-sizes")
+    found = table(rows.mapInArrow(tidied(_summaries), "doc_id bigint, n_shingles bigint, digest binary, poor boolean, sketch binary"), "near-sizes")
     filled = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = table(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     named = table(filled.join(classes, "digest"), "near-named")
@@ -398,3 +398,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def op6_near_join(spark, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(x) AS x FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), two_way AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM two_way UNION SELECT r.doc_id, t.b FROM reach r JOIN two_way t ON t.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

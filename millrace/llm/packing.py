@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, text_steps
+from .common import documents, id_text, text_steps, tidied
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, spaces_lead: bool, capacity: int = CAPACI
                         rows.append((doc_id, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs).mapInArrow(run, PIECE)
+    return id_text(docs).mapInArrow(tidied(run), PIECE)
 
 
 class OpenBins:
@@ -98,7 +98,7 @@ def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, open_bins: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = cut.repartition(n, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    return dealt.mapInArrow(run, f"{PIECE}, sequence_id bigint, offset bigint")
+    return dealt.mapInArrow(tidied(run), f"{PIECE}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, spaces_lead: bool = False, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

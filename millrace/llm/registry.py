@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_token_file": tokenfile.op10_token_file,
 }
-SQL = {"op1_exact_dedup": exact.OP1_SQL, "op5_warc": warc.OP5_SQL}
+SQL = {"op1_exact_dedup": exact.OP1_SQL, "op2_suffix_dedup": suffix.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_near_join": nearjoin.OP6_SQL}

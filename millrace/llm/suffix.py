@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, id_text, partitions, pool, table, text_steps
+from .common import by_bytes, documents, id_text, partitions, pool, table, text_steps, tidied
 
 LENGTH = 100
 SEED = 32
@@ -381,16 +381,16 @@ def _sorted_windows(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, sorted_contexts: int = SORTED_CONTEXTS) -> DataFrame:
     """(doc_id, start, stop) of repeated byte strings, overlapping each other; docs: doc_id and text, ids distinct, no nulls."""
     n = partitions(docs)
-    found = docs.mapInArrow(_anchor_rows(length, seed), ANCHOR).repartition(n, "seed")
-    places = table(found.sortWithinPartitions("seed", "digest", "more", "doc_id", "packed").mapInArrow(_resolve, PLACE), "suffix-places")
+    found = docs.mapInArrow(tidied(_anchor_rows(length, seed)), ANCHOR).repartition(n, "seed")
+    places = table(found.sortWithinPartitions("seed", "digest", "more", "doc_id", "packed").mapInArrow(tidied(_resolve), PLACE), "suffix-places")
     first, more = F.shiftright("packed", 16), F.col("packed").bitwiseAND(255)
     whole = places.where(F.col("seed").isNull()).select("doc_id", first.alias("start"), (first + more + length).alias("stop"))
 
     heads = places.where(F.col("seed").isNotNull())
     counted = heads.join(heads.groupBy("seed").agg(F.count(F.lit(1)).alias("k")), "seed")
     of_doc = counted.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "packed", "k")).alias("places"))
-    contexts = docs.join(of_doc, "doc_id").mapInArrow(_contexts(length, seed, sorted_contexts), CONTEXT).repartition(n, "seed")
-    return whole.unionByName(contexts.sortWithinPartitions("seed", "doc_id", "first").mapInArrow(_sorted_windows(length), SPAN))
+    contexts = docs.join(of_doc, "doc_id").mapInArrow(tidied(_contexts(length, seed, sorted_contexts)), CONTEXT).repartition(n, "seed")
+    return whole.unionByName(contexts.sortWithinPartitions("seed", "doc_id", "first").mapInArrow(tidied(_sorted_windows(length)), SPAN))
 
 
 def _merge_spans(batches):
@@ -412,7 +412,7 @@ def _merge_spans(batches):
 def merged_spans(spans: DataFrame) -> DataFrame:
     """doc_id and its maximal covered runs, as arrays `starts` and `stops`, in order."""
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return grouped.mapInArrow(_merge_spans, "doc_id bigint, starts array<bigint>, stops array<bigint>")
+    return grouped.mapInArrow(tidied(_merge_spans), "doc_id bigint, starts array<bigint>, stops array<bigint>")
 
 
 def kept_pieces(raw: bytes, starts: list[int], stops: list[int]) -> bytes:
@@ -439,7 +439,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows, searched = keyed(id_text(docs))
     spans = merged_spans(repeated_spans(searched, length)).withColumnRenamed("doc_id", "key")
-    return rows.join(spans, "key", "left").mapInArrow(_digest_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.join(spans, "key", "left").mapInArrow(tidied(_digest_rows), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def whole_characters(raw: bytes, starts: list[int], stops: list[int]) -> tuple[list[int], list[int]]:
@@ -480,7 +480,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in schema.names], names=schema.names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return rows.join(spans, "key", "left").select(*schema.names, "millrace_runs").mapInArrow(run, schema)
+    return rows.join(spans, "key", "left").select(*schema.names, "millrace_runs").mapInArrow(tidied(run), schema)
 
 
 def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -500,3 +500,28 @@ def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
+
+
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), c AS (  -- blocks of 1000 starts, with the bytes of their windows
+  SELECT doc_id, n, j AS base, substr(h, 2 * j + 1, 2198) AS block FROM (SELECT *, unnest(range(0, greatest(n - 99, 0), 1000)) AS j FROM d)
+), w AS (
+  SELECT doc_id, base + i AS start, md5(substr(block, 2 * i + 1, 200)) AS mark FROM (SELECT *, unnest(range(0, least(1000, n - 99 - base))) AS i FROM c)
+), again AS (
+  SELECT doc_id, start FROM w QUALIFY row_number() OVER (PARTITION BY mark ORDER BY doc_id, start) > 1
+), edge AS (
+  SELECT doc_id, start, start > lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 100 AS opens FROM again
+), run AS (
+  SELECT doc_id, min(start) AS lo, max(start) + 100 AS hi
+  FROM (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY doc_id ORDER BY start) AS number FROM edge) GROUP BY doc_id, number
+), gap AS (
+  SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS free FROM run
+), cut AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * free + 1, 2 * (lo - free)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
