@@ -45,7 +45,11 @@ def zero_filled(df: DataFrame, group: str, column: str, values: list[str]) -> Da
     return wide.select(group, F.inline(pairs))
 
 
-def first_seen(ordinal: Column, value: Column) -> Column:
-    """Aggregate: distinct values in the order of their first appearance."""
-    ordered = F.array_sort(F.collect_list(F.struct(ordinal.alias("o"), value.alias("v"))))
-    return F.array_distinct(F.transform(ordered, lambda x: x["v"]))
+def first_seen(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """(group, values): the distinct values of each group in the order of their first appearance; nulls do not count.
+
+    Rows are first reduced to one for each group and value, so a group's array is as long as it has values, not rows.
+    """
+    once = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(F.struct(*order)).alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", F.col(value).alias("v"))))
+    return once.groupBy(group).agg(F.transform(ordered, lambda x: x["v"]).alias("values"))

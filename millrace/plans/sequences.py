@@ -31,10 +31,11 @@ def running_state(spark, d):
 
 
 def running_prefix(spark, d):
-    c = read(spark, d, "conversations").withColumn("h", F.md5("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("before", F.collect_list("h").over(w)).withColumn("n_left", seq.remaining("conv_id", ["turn"]))
-    return c.where((F.col("role") == "assistant") & (F.size("before") >= 2)).select("conv_id", "turn", F.md5(F.array_join("before", ",")).alias("prefix_md5"), "n_left")
+    """Each conversation's hashes are collected once, and an assistant's turn takes those before it."""
+    c = read(spark, d, "conversations").select("conv_id", F.struct("turn", F.md5("text").alias("h"), "role").alias("t"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).withColumn("hashes", F.transform("turns", lambda t: t["h"]))
+    e = g.select("conv_id", "hashes", F.posexplode("turns").alias("at", "t")).where((F.col("t.role") == "assistant") & (F.col("at") >= 2))
+    return e.select("conv_id", F.col("t.turn").alias("turn"), F.md5(F.array_join(F.slice("hashes", F.lit(1), F.col("at")), ",")).alias("prefix_md5"), (F.size("hashes") - F.col("at") - 1).cast("long").alias("n_left"))
 
 
 def boundary_slice(spark, d):
@@ -76,7 +77,7 @@ def event_type_summary(spark, d):
 
 def first_seen_types(spark, d):
     e = read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.array_join(first_seen(F.struct("ts", "event_id"), F.col("event_type")), ",").alias("types"))
+    return first_seen(e, "user_id", E_ORDER, "event_type").select("user_id", F.array_join("values", ",").alias("types"))
 
 
 def repeat_drift(spark, d):

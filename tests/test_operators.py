@@ -54,7 +54,7 @@ def test_zero_filled_and_layers(spark):
 
 def test_first_seen(spark):
     df = frame(spark, [(1, 3, "c"), (1, 1, "b"), (1, 2, "c"), (1, 4, "b")], "g int, o int, v string")
-    assert rows(df.groupBy("g").agg(summaries.first_seen(F.col("o"), F.col("v")))) == [(1, ["b", "c"])]
+    assert rows(summaries.first_seen(df, "g", ["o"], "v")) == [(1, ["b", "c"])]
 
 
 def test_coverage_and_diff(spark):
@@ -179,3 +179,47 @@ def test_sorted_json_at_all_depths(spark):
 
     got = frame(spark, [(1,)], "a int").select(canonical_json(F.struct(F.lit(1).alias("b"), F.lit(None).cast("int").alias("a"), F.struct(F.lit("y").alias("z"), F.lit(2).alias("c")).alias("m"))), sorted_json(F.lit('{"b": [1, {"d": 1, "c": "é"}], "a": null}'))).first()
     assert tuple(got) == ('{"a":null,"b":1,"m":{"c":2,"z":"y"}}', '{"a":null,"b":[1,{"c":"é","d":1}]}')
+
+
+def test_small_formats(spark):
+    from millrace.functions import values
+
+    text = lambda c, *xs: [r[0] for r in frame(spark, [(x,) for x in xs], "t string").select(c(F.col("t"))).collect()]
+    assert text(values.duration_seconds, "250ms", "1.5h", "3m", "7", "-1s", "1 s", "", None) == [0.25, 5400.0, 180.0, None, None, None, None, None]
+    assert text(values.relative_path, "a/./b/../c", "../a", "a/..", "/a", "", "a//b", "a/../..") == ["a/c", None, ".", None, ".", "a/b", None]
+    known = F.create_map(F.lit("a"), F.lit("$${b}"), F.lit("b"), F.lit("2"))
+    assert text(lambda t: values.expanded(t, known), "${a}${b}", "$$${b}", "$a", "${c}", "", "x\ny") == ["$${b}2", "$2", "$a", None, "", "x\ny"]
+    pairs = lambda t: F.transform(values.assignments(t), lambda p: F.concat(p["key"], F.lit(">"), p["value"]))
+    assert text(pairs, 'A=1\n\n# x\n B="x \\"y\\""', "A=1\nA=2", "oops", "A=a b", "") == [["A>1", 'B>x "y"'], None, None, None, []]
+    assert text(lambda t: values.pointed(F.lit('{"a/b": [10, {"~": "x"}], "": 1}'), t), "/a~1b/0", "/a~1b/1/~0", "/a~1b/2", "/no", "") == ["10", "x", None, None, '{"a/b": [10, {"~": "x"}], "": 1}']
+    with pytest.raises(Exception, match="larger than a batch"):
+        frame(spark, [(["aé", "b"],)], "t array<string>").select(values.utf8_batches(F.col("t"), 2, 2)).collect()
+    assert frame(spark, [(["a", "é", "b", "c"],)], "t array<string>").select(values.utf8_batches(F.col("t"), 2, 2)).first()[0] == [0, 1, 2, 2]
+    with pytest.raises(Exception, match="division by zero"):
+        frame(spark, [(1, 0)], "a int, b int").select(values.ratio(F.col("a"), F.col("b"))).collect()
+
+
+def test_label_layout(spark):
+    from millrace.operators.labels import label_layout
+
+    rows_ = [("whole", [(0, 2), (2, 4), (4, 5)], [(2, 5)], 5), ("crossing", [(0, 3), (3, 5)], [(2, 5)], 5), ("gap", [(0, 2), (3, 5)], [(3, 5)], 5), ("disordered", [(2, 4), (0, 2)], [(0, 2)], 4), ("empty token", [(0, 0), (0, 4)], [(0, 4)], 4), ("span", [(0, 4)], [(0, 9)], 4), ("none owned", [(0, 4)], [], 4), ("two spans", [(0, 1), (1, 2), (2, 3)], [(0, 1), (2, 3)], 3)]
+    df = frame(spark, rows_, "name string, o array<struct<start:int,stop:int>>, s array<struct<start:int,stop:int>>, n int")
+    got = {r["name"]: tuple(r)[4:] for r in label_layout(df, F.col("o"), F.col("s"), F.col("n")).collect()}
+    nothing = (None,) * 5
+    assert got == {"whole": ("labelled", 2, 1, 1, True, 2), "crossing": ("crossing", *nothing), "gap": ("gap", *nothing), "disordered": ("disordered", *nothing), "empty token": ("outside", *nothing), "span": ("span outside", *nothing), "none owned": ("labelled", 0, 1, None, True, 0), "two spans": ("labelled", 2, 1, 0, False, 1)}
+
+
+def test_repeated_calls_and_preferences(spark):
+    from millrace.operators.preferences import oriented
+    from millrace.operators.runs import repeated_calls, without
+
+    call = lambda o, tool, status, before, after, seen: ("u", o, tool, status, before, after, seen)
+    calls = [call(1, "read", "ok", "w", "w", "x"), call(2, "read", "ok", "w", "w", "x"), call(3, "read", "ok", "w", "w", "x"), call(4, "read", "ok", "w", "w", "y"), call(5, "run", "error", "w", "w", "e"), call(6, "run", "error", "w", "w", "e"), call(7, "edit", "ok", "w", "v", "d"), call(8, "edit", "ok", "v", "v", "d"), call(9, "edit", "ok", "v", "z", "d"), call(10, "read", None, "z", "z", None)]
+    df = frame(spark, calls, "g string, o int, tool string, status string, before string, after string, seen string")
+    args = ("g", "o", ["tool"], "status", "before", "after", "seen")
+    assert rows(repeated_calls(df, *args)) == [("u", 1, 2, "read"), ("u", 7, 1, "edit")]
+    assert [(r["o"], r["call_id"]) for r in without(df, *args).orderBy("o").collect()] == [(1, "tool_call_0001"), (4, "tool_call_0002"), (5, "tool_call_0003"), (6, "tool_call_0004"), (7, "tool_call_0005"), (9, "tool_call_0006"), (10, "tool_call_0007")]
+    pairs = frame(spark, [("c", "a", "b", "1")], "context string, left string, right string, comparison_id string")
+    with pytest.raises(Exception, match="neither alternative"):
+        oriented(pairs, frame(spark, [("1", "preferred", "z")], "comparison_id string, outcome string, preferred string")).collect()
+    assert oriented(pairs, frame(spark, [("1", "tie", None)], "comparison_id string, outcome string, preferred string")).collect() == []
