@@ -30,7 +30,7 @@ def test_stages(spark, small):
     assert set(texts(docs)) - set(texts(one)) >= {9001, 9002, 9003}
     assert texts(one).items() <= texts(docs).items()
     scorer = language.Scorer(language.learn(docs))
-    assert set(texts(one)) == {d for d, t in texts(docs).items() if (s := scorer.score(t))[0] != "und" and s[1] >= 0.5}
+    assert set(texts(one)) == {d for d, t in texts(docs).items() if (s := scorer.score([t])[0])[0] != "und" and s[1] >= 0.5 and s[2] >= 0.5}
 
     two = step("exact_dedup", one)
     best = {}
