@@ -29,9 +29,9 @@ def has_line(text: Column, prefix_pattern: str) -> Column:
 
 
 def percentage(n: Column, total: Column) -> Column:
-    """`n/N (p%)` with one decimal, empty text for a total of 0."""
+    """`n/N (p%)` with one decimal, empty text for a total of 0, null where one is not known."""
     share = F.format_string("%d/%d (%s%%)", n, total, F.round(100 * n.cast("decimal(20,0)") / total, 1).cast("decimal(10,1)").cast("string"))
-    return F.when(total == 0, F.lit("")).otherwise(share)
+    return F.when(total == 0, F.lit("")).when(n.isNotNull() & total.isNotNull(), share)
 
 
 def counts_text(names: Column, counts: Column) -> Column:

@@ -26,3 +26,11 @@ def outer_diff(old: DataFrame, new: DataFrame, key: str, *fields: str) -> DataFr
     changed = F.concat_ws(",", *differs)
     change = F.when(F.col(f"o.{key}").isNull(), "added").when(F.col(f"n.{key}").isNull(), "removed").when(changed != "", "changed").otherwise("unchanged")
     return both.select(F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key), change.alias("change"), F.when(change == "changed", changed).otherwise("").alias("fields"))
+
+
+def reference_problems(references: DataFrame, artifacts: DataFrame, keys: list[str], pin: str) -> DataFrame:
+    """References (keys) whose artifact is absent or has no content hash in `pin`, with `problem`. Artifacts are unique by their keys; a
+    reference with a null key is absent."""
+    held = artifacts.select(*keys, F.lit(True).alias("__there"), F.col(pin).alias("__pin"))
+    problem = F.when(F.col("__there").isNull(), "absent").when(F.col("__pin").isNull(), "not pinned")
+    return references.join(held, keys, "left").select(*keys, problem.alias("problem")).where(F.col("problem").isNotNull())

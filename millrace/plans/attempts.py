@@ -19,8 +19,8 @@ AGENT = ("scored", "agent_loop_failed", "orchestrator_error")
 LOOP = ("completed", "max_turns_exceeded", "invalid_model_output", "terminal_tool_error")
 
 
-def attempts(spark, d):
-    """An attempt per order, with and without agent and scorer, in all mixtures of statuses."""
+def attempts(spark, d, *more):
+    """An attempt per order, with and without agent and scorer, in all mixtures of statuses; more: columns of orders."""
     k = F.col("o_orderkey")
     scorer, agent = k % 11 != 0, k % 7 != 0
     rows = read(spark, d, "orders").select(
@@ -30,6 +30,7 @@ def attempts(spark, d):
         F.when(scorer, chosen(k, *ATTEMPT)).alias("attempt"),
         F.when(scorer | (k % 22 == 0), chosen(F.floor(k / 8), *CHECK)).alias("public"),
         F.when(scorer & (k % 13 != 0), chosen(F.floor(k / 24), *CHECK)).alias("hidden"),
+        *more,
     )
     names = [F.col(c) for c in ("agent", "loop", "attempt", "public", "hidden")]
     return rows.withColumn("success", statuses.task_success(*names))

@@ -95,7 +95,7 @@ def first_latest_orders(spark, d):
 
 
 def stock_allocation(spark, d):
-    stock = read(spark, d, "part").where("p_partkey % 50 <> 0")
+    stock = read(spark, d, "part").where("p_size <> 1")
     got = tasks.allocation(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", stock, "p_partkey", "p_size")
     return got.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_short").cast("long").alias("n_short"))
 
@@ -171,7 +171,7 @@ SQL = {
         SELECT user_id, count(*) AS n, sum(CASE event_type WHEN 'purchase' THEN round(value, 2) WHEN 'error' THEN -round(value, 2) ELSE 0 END::DECIMAL(38,2))::DECIMAL(38,2) AS balance FROM events, b WHERE ts >= lo AND ts < hi GROUP BY user_id""",
     "first_latest_orders": "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest_order FROM orders GROUP BY o_custkey",
     "stock_allocation": """WITH n AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS wanted FROM lineitem GROUP BY ALL), j AS (SELECT l_orderkey, count_if(p_partkey IS NULL) AS u, count_if(p_size < wanted) AS s
-          FROM n LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 0) ON l_partkey = p_partkey GROUP BY l_orderkey)
+          FROM n LEFT JOIN (SELECT * FROM part WHERE p_size <> 1) ON l_partkey = p_partkey GROUP BY l_orderkey)
         SELECT CASE WHEN u > 0 THEN 'unknown item' WHEN s > 0 THEN 'shortfall' ELSE 'allocated' END AS status, count(*) AS n, sum(s)::BIGINT AS n_short FROM j GROUP BY 1""",
     "place_closure": """WITH RECURSIVE e AS (SELECT 'region:' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
         c AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child) SELECT child, ancestor, depth FROM c""",

@@ -10,7 +10,7 @@ from .reviews import read
 
 
 def _alternatives(spark, d):
-    e = read(spark, d, "events").where("event_id % 3 <> 0").withColumn("context", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
+    e = read(spark, d, "events").withColumn("context", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
     return alternatives(e, "context", "event_type", "event_id")
 
 
@@ -25,7 +25,7 @@ def _user():
 def _verdicts(spark, d):
     """A verdict for most comparisons: preferred, tie or unsure."""
     u = _user()
-    p = _pairs(spark, d).where(u % 10 != 0)
+    p = _pairs(spark, d).where("left <> 'click'")
     outcome = F.when(u % 4 == 0, "tie").when(u % 9 == 0, "unsure").otherwise("preferred")
     return p.select("comparison_id", outcome.alias("outcome"), F.when(outcome == "preferred", F.when(u % 2 == 0, F.col("left")).otherwise(F.col("right"))).alias("preferred"))
 
@@ -78,15 +78,15 @@ def prompt_checks(spark, d):
 
 QUERIES = {f.__name__: f for f in (context_alternatives, preference_comparisons, verdict_counts, verdict_coverage, preference_pairs, pair_summary, prompt_checks)}
 
-_P = """a AS (SELECT 'user_' || user_id AS context, user_id AS u, event_type, min(event_id) AS evidence, count(DISTINCT event_id) AS n_evidence FROM events WHERE event_id % 3 <> 0 AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
+_P = """a AS (SELECT 'user_' || user_id AS context, user_id AS u, event_type, min(event_id) AS evidence, count(DISTINCT event_id) AS n_evidence FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
   p AS (SELECT x.context, x.u, x.event_type AS l, y.event_type AS r, 'comparison_' || md5(x.context || chr(31) || x.event_type || chr(31) || y.event_type) AS id FROM a x JOIN a y ON x.u = y.u AND x.event_type < y.event_type),
-  v AS (SELECT id, CASE WHEN u % 4 = 0 THEN 'tie' WHEN u % 9 = 0 THEN 'unsure' ELSE 'preferred' END AS outcome FROM p WHERE u % 10 <> 0),
+  v AS (SELECT id, CASE WHEN u % 4 = 0 THEN 'tie' WHEN u % 9 = 0 THEN 'unsure' ELSE 'preferred' END AS outcome FROM p WHERE l <> 'click'),
   o AS (SELECT p.*, CASE WHEN u % 2 = 0 THEN l ELSE r END AS chosen, CASE WHEN u % 2 = 0 THEN r ELSE l END AS rejected FROM p JOIN v ON v.id = p.id WHERE outcome = 'preferred')"""
 SQL = {
     "context_alternatives": f"WITH {_P} SELECT context, event_type, evidence, n_evidence FROM a",
     "preference_comparisons": f'WITH {_P} SELECT context, l AS "left", r AS "right", id AS comparison_id FROM p',
     "verdict_counts": f"WITH {_P} SELECT coalesce(outcome, 'pending') AS outcome, count(*) AS n, count(DISTINCT context) AS n_contexts FROM p LEFT JOIN v ON v.id = p.id GROUP BY 1",
-    "verdict_coverage": f"""WITH {_P} SELECT 'missing' AS problem, count(*) AS n FROM p WHERE u % 10 = 0 HAVING count(*) > 0 UNION ALL SELECT 'unknown', count(*) FROM region HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM v WHERE id < 'comparison_1' HAVING count(*) > 0""",
+    "verdict_coverage": f"""WITH {_P} SELECT 'missing' AS problem, count(*) AS n FROM p WHERE l = 'click' HAVING count(*) > 0 UNION ALL SELECT 'unknown', count(*) FROM region HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM v WHERE id < 'comparison_1' HAVING count(*) > 0""",
     "preference_pairs": f"WITH {_P} SELECT context, chosen, rejected, 'pair_' || md5(id || chr(31) || chosen || chr(31) || rejected) AS pair_id FROM o",
     "pair_summary": f"WITH {_P} SELECT chosen, count(*) AS n, count(DISTINCT context) AS n_contexts, count_if(chosen < rejected)::BIGINT AS n_lesser FROM o GROUP BY chosen",
     "prompt_checks": """WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), j AS (SELECT x.conv_id, x.turn, x.w AS w, y.w AS v FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)

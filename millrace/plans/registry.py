@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attempts, orders, preferences, reviews, sequences, transforms
+from . import attempts, orders, preferences, records, reviews, sequences, transforms
 
 FLAGSHIP = "review_gate_counts"
-QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES | preferences.QUERIES
-SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL | preferences.SQL
+QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES | preferences.QUERIES | records.QUERIES
+SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL | preferences.SQL | records.SQL

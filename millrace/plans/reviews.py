@@ -76,8 +76,8 @@ def zero_filled_gates(spark, d):
 
 def customer_snapshot_diff(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
-    old = c.where("c_custkey % 10 <> 3")
-    new = c.where("c_custkey % 10 <> 7").select("c_custkey", F.when(F.expr("c_custkey % 6 = 0"), "MOVED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), F.when(F.expr("c_custkey % 4 = 0"), None).otherwise(F.col("c_acctbal")).alias("c_acctbal"), "c_nationkey")
+    old = c.where("c_mktsegment <> 'BUILDING'")
+    new = c.where("c_mktsegment <> 'HOUSEHOLD'").select("c_custkey", F.when(F.expr("c_custkey % 6 = 0"), "MOVED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), F.when(F.expr("c_custkey % 4 = 0"), None).otherwise(F.col("c_acctbal")).alias("c_acctbal"), "c_nationkey")
     return outer_diff(old, new, "c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
 
 
@@ -143,8 +143,8 @@ SQL = {
         FROM (SELECT lang, count(quality) AS n_reviewed, count_if(quality = 1 AND toxic = 0)::BIGINT AS n_passed FROM ({_GATED}) GROUP BY lang)""",
     "zero_filled_gates": f"""SELECT source, status, count_if(gate = status)::BIGINT AS n FROM (SELECT source, coalesce({_REASON}, 'eligible') AS gate FROM ({_GATED}))
         CROSS JOIN (VALUES ('eligible'), ('rejected'), ('blocked'), ('not reviewed'), ('withdrawn')) v(status) GROUP BY ALL""",
-    "customer_snapshot_diff": """WITH o AS (SELECT * FROM customer WHERE c_custkey % 10 <> 3), n AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment,
-          CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS c_acctbal, c_nationkey FROM customer WHERE c_custkey % 10 <> 7),
+    "customer_snapshot_diff": """WITH o AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment,
+          CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS c_acctbal, c_nationkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'),
         j AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, o.c_custkey AS a, n.c_custkey AS b, concat_ws(',', CASE WHEN o.c_mktsegment IS DISTINCT FROM n.c_mktsegment THEN 'c_mktsegment' END,
           CASE WHEN o.c_acctbal IS DISTINCT FROM n.c_acctbal THEN 'c_acctbal' END, CASE WHEN o.c_nationkey IS DISTINCT FROM n.c_nationkey THEN 'c_nationkey' END) AS f FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)
         SELECT c_custkey, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN f <> '' THEN 'changed' ELSE 'unchanged' END AS change, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN f ELSE '' END AS fields FROM j""",
