@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_json(record: Column) -> Column:
@@ -34,3 +37,16 @@ def ordered_hash(ordinal: Column, child: Column) -> Column:
 def normalized_text(text: Column) -> Column:
     """Lower case, white space as single spaces, ends trimmed."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def content_digest(content: Column) -> Column:
+    """`xxh64:` and the sixteen hex digits of xxHash64 with seed 0 of the bytes, or of a text in UTF-8; null for null.
+
+    Spark's own function has another seed, so this one works on Arrow batches. Meant for digests that others must be able to compute;
+    keys inside a job are cheaper by `content_hash`.
+    """
+
+    def digests(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else f"xxh64:{xxhash.xxh64_hexdigest(b)}")
+
+    return F.pandas_udf(digests, StringType())(content.cast("binary"))

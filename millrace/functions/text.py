@@ -59,3 +59,21 @@ def version_key(version: Column) -> Column:
 def scope_matches(pattern: Column, value: Column) -> Column:
     """`*`, the same text, or a prefix of whole colon segments."""
     return (pattern == "*") | (pattern == value) | F.startswith(value, F.concat(pattern, F.lit(":")))
+
+
+def first_difference(left: Column, right: Column) -> Column:
+    """The place, from 0, of the first character in which the texts differ: the shorter length if one begins the other, null if they are
+    equal. Halves the range until it is found, so that long texts take few steps."""
+    bounds = F.struct(F.lit(0).alias("lo"), F.least(F.length(left), F.length(right)).alias("hi"))
+    middle = lambda b: F.floor((b["lo"] + b["hi"] + 1) / 2).cast("int")
+    agree = lambda b: F.substring(left, F.lit(1), middle(b)) == F.substring(right, F.lit(1), middle(b))
+    halved = lambda b, _: F.struct(F.when(agree(b), middle(b)).otherwise(b["lo"]).alias("lo"), F.when(agree(b), b["hi"]).otherwise(F.greatest(middle(b) - 1, b["lo"])).alias("hi"))
+    return F.when(left != right, F.aggregate(F.sequence(F.lit(1), F.lit(32)), bounds, halved)["lo"])
+
+
+def roots_replaced(text: Column, roots: dict[str, str]) -> Column:
+    """Folders replaced by their placeholders, longer ones first, where no character of a path or name stands before or goes on behind."""
+    for root in sorted(roots, key=lambda r: (-len(r), r)):
+        quoted = "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in root)
+        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_./-]){quoted}(?![A-Za-z0-9_-]|\.[A-Za-z0-9])", roots[root].replace("\\", "\\\\").replace("$", "\\$"))
+    return text
