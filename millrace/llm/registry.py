@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, counts, exact, language, nearjoin, packing, quality, suffix, tokenfile, warc
+from . import alignment, bytebpe, counts, exact, language, nearjoin, packing, quality, suffix, tokenfile, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
     "op9_language_id": language.op9_language_id,
     "op10_token_file": tokenfile.op10_token_file,
+    "op11_alignment": alignment.op11_alignment,
 }
 SQL = {"op1_exact_dedup": exact.OP1_SQL, "op2_suffix_dedup": suffix.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_near_join": nearjoin.OP6_SQL}
