@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +33,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text in a step, and characters beyond which a text is encoded in parts.
 STEP = 1 << 19
-LONG_TEXT = 1 << 16
+LONG_TEXT = 1 << 20
 #: Codes of single documents that a task gathers before it sums them.
 KEPT_CODES = 1 << 20
 #: Salted keys of a pair in the first of two stages of counting.
 SALTS = 16
-#: A space between letters or digits: no token of either tokenizer goes over the place before it.
+#: Pieces in each of the two generations that a worker remembers, and characters beyond which a piece is not remembered.
+KEPT_PIECES = 300_000
+LONGEST_KEPT = 64
+#: A space between letters or digits: long texts are cut before some of these.
 _CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+#: No token of either tokenizer goes over the place before one space, or one line feed, that is not beside other white space.
+_PIECES = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary"
@@ -57,13 +63,16 @@ def parts_of(text: str, longest: int = LONG_TEXT) -> list[str]:
 
 
 class Vocabulary:
-    """Bytes of each token, their lengths, and the token's number as text with what may follow it."""
+    """Bytes of each token, their lengths, and the token's number as text with each sign that may follow it."""
 
     def __init__(self, tokens: list[bytes], separators: str):
         self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.shown = [f"{i}{s}".encode() for i in range(len(tokens)) for s in separators]
 
+    def of(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
@@ -76,26 +85,61 @@ class Aligner:
         self.vocabulary_a = Vocabulary([bytes(byte_of[c] for c in n) for n in names], ",|")
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("texts cannot be encoded in parts: a piece has a space after another character")
         own = [bytes([int(_BYTE_PIECE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.vocabulary_b = Vocabulary(own, ",;")
+        if min(self.vocabulary_a.lengths.min(), self.vocabulary_b.lengths.min()) < 1:
+            raise ValueError("a token without bytes")
         self.most_pairs = int(self.vocabulary_a.lengths.sum() + self.vocabulary_b.lengths.sum())
+        every = self.vocabulary_a.shown + self.vocabulary_b.shown
+        self.shown_sizes = np.array([len(x) for x in every], dtype=np.int64)
+        width = int(self.shown_sizes.max())
+        self.shown = np.frombuffer(b"".join(x.ljust(width) for x in every), dtype=np.uint8).reshape(-1, width)
+        self.space = self.b.piece_to_id("▁")
+        if any(c in p.lstrip("▁") for p in pieces for c in "▁\n"):
+            raise ValueError("texts cannot be encoded in pieces: a token has a space or line feed after another character")
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _fresh(self, pieces: list[str]) -> None:
+        """Encode pieces, all at once, and remember them. A reads them as they are; B adds a space to each, which stands for the one
+        that a piece begins with, or is taken away again from one that begins with a line feed."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids_b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        for i, p in enumerate(pieces):
+            if p[0] != " ":
+                if ids_b[i][0] != self.space:
+                    raise ValueError("the space that B adds went into another token")
+                del ids_b[i][0]
+        sides = ((self.vocabulary_a, ids_a), (self.vocabulary_b, ids_b))
+        whole = "".join(pieces).encode()
+        all_same = all(b"".join(map(v.of, ids)) == whole for v, ids in sides)
+        for piece, a, b in zip(pieces, ids_a, ids_b, strict=True):
+            same = all_same or self.vocabulary_a.of(a) == self.vocabulary_b.of(b) == piece.encode()
+            self.known[piece] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+
+    def _parts(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        cut = [_PIECES.split(p) for p in parts]
+        new = set().union(*cut).difference(self.known)
+        self.known |= {p: self.old[p] for p in new if p in self.old}
+        if unseen := new.difference(self.old):
+            self._fresh(list(unseen))
+        found = [list(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for p in unseen:
+            if len(p) > LONGEST_KEPT:
+                del self.known[p]
+        if len(self.known) > KEPT_PIECES:
+            self.known, self.old = {}, self.known
+        return [None if None in f else (b"".join([x for x, _ in f]), b"".join([x for _, x in f])) for f in found]
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text, which A reads with a space before; none where the bytes of either are not those of the text."""
-        cut = [parts_of(t) if t else [] for t in texts]
-        heads = [p if i == 0 else p[1:] for parts in cut for i, p in enumerate(parts)]
-        ids_a = iter(self.a.encode_batch_fast([f" {h}" for h in heads], add_special_tokens=False))
-        ids_b = iter(self.b.encode(heads, num_threads=1) if heads else [])
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            a = [i for _ in parts for i in next(ids_a).ids]
-            b = [i for _ in parts for i in next(ids_b)]
-            want = b" " + text.encode()
-            same = text and all(b"".join(map(v.tokens.__getitem__, x)) == want for v, x in ((self.vocabulary_a, a), (self.vocabulary_b, b)))
-            out.append((np.array(a if same else [], dtype=np.int64), np.array(b if same else [], dtype=np.int64)))
-        return out
+        parts = [[p if i else f" {p}" for i, p in enumerate(parts_of(t))] if t else [] for t in texts]
+        if max(map(len, parts), default=0) > 1:
+            found = [[x for p in own for x in self._parts([p])] for own in parts]
+        else:
+            every = iter(self._parts([p for own in parts for p in own]))
+            found = [[next(every) for _ in own] for own in parts]
+        return [tuple(np.frombuffer(b"" if None in f else b"".join([p[k] for p in f]), "<u4").astype(np.int64) for k in (0, 1)) for f in found]
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """The columns of ALIGNED but doc_id."""
@@ -103,33 +147,34 @@ class Aligner:
         n_a, n_b = (np.array([len(x[k]) for x in ids], dtype=np.int64) for k in (0, 1))
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in ids)]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.vocabulary_a.lengths[a]), np.cumsum(self.vocabulary_b.lengths[b])
-        cuts = np.intersect1d(ends_a, ends_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty, so no end is there twice
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
 
         # Links: at each cut, all tokens of A that end there with all tokens of B that do.
-        first_a, last_a = np.searchsorted(ends_a, cuts, "left"), np.searchsorted(ends_a, cuts, "right")
-        first_b, last_b = np.searchsorted(ends_b, cuts, "left"), np.searchsorted(ends_b, cuts, "right")
-        per_a = np.repeat(last_b - first_b, last_a - first_a)
-        left = np.repeat(np.flatnonzero(np.isin(ends_a, cuts)), per_a)
-        start = np.cumsum(per_a) - per_a
-        right = np.repeat(np.repeat(first_b, last_a - first_a), per_a) + np.arange(len(left)) - np.repeat(start, per_a)
+        at_a, at_b = np.flatnonzero(cuts[group_a] == ends_a), np.flatnonzero(cuts[group_b] == ends_b)
+        many_b = np.bincount(group_b[at_b], minlength=len(cuts))
+        times = many_b[group_a[at_a]]
+        left = np.repeat(at_a, times)
+        first_b = np.cumsum(many_b) - many_b
+        right = at_b[np.repeat(first_b[group_a[at_a]] - (np.cumsum(times) - times), times) + np.arange(len(left))]
         links = self.codes(a[left], b[right])
 
         # The text form: tokens of both in the order of groups, A before B, each with the sign that follows it.
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
         shown = np.zeros(len(a) + len(b), dtype=np.int64)
-        closes_a = np.concatenate([group_a[1:] != group_a[:-1], [True]])[: len(a)]
-        closes_b = np.concatenate([group_b[1:] != group_b[:-1], [True]])[: len(b)]
-        shown[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a + closes_a
-        shown[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = ~(2 * b + closes_b)
-        to_a, to_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        closes_a, closes_b = (np.concatenate([g[1:] != g[:-1], [True]])[: len(g)] for g in (group_a, group_b))
+        shown[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = 2 * a + closes_a
+        shown[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = 2 * (len(self.vocabulary_a.tokens) + b) + closes_b
+        size = self.shown_sizes[shown]
+        whole = self.shown[shown][np.arange(self.shown.shape[1]) < size[:, None]].tobytes()
+
+        to_a, to_both = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_a + n_b)])
         link_at, group_at = np.searchsorted(left, to_a), np.searchsorted(cuts, np.concatenate([[0], ends_a])[to_a], "right")
-        text_a, text_b, digests = self.vocabulary_a.shown, self.vocabulary_b.shown, []
-        for i, j in zip((to_a + to_b)[:-1], (to_a + to_b)[1:], strict=True):
-            whole = b"".join([text_a[x] if x >= 0 else text_b[~x] for x in shown[i:j].tolist()])
-            digests.append(hashlib.sha256(whole[:-1]).hexdigest() if j > i else "")
+        text_at = np.concatenate([[0], np.cumsum(size)])[to_both].tolist()
         return {
             "n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": np.diff(group_at).tolist(), "n_links": np.diff(link_at).tolist(),
-            "groups_sha256": digests, "links": [links[i:j].tobytes() for i, j in zip(link_at[:-1], link_at[1:], strict=True)],
+            "groups_sha256": [hashlib.sha256(whole[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(text_at[:-1], text_at[1:], strict=True)],
+            "links": [links[i:j].tobytes() for i, j in zip(link_at[:-1], link_at[1:], strict=True)],
         }
 
     @property

@@ -81,6 +81,10 @@ def test_texts_in_parts_give_what_whole_ones_do(docs, monkeypatch):
     monkeypatch.setattr(alignment.parts_of, "__defaults__", (7,))
     assert max(len(alignment.parts_of(t)) for t in texts) > 50
     assert own.align(texts) == whole
+    monkeypatch.setattr(alignment, "KEPT_PIECES", 5)
+    monkeypatch.setattr(alignment, "LONGEST_KEPT", 4)
+    own = alignment.Aligner(A, B)
+    assert [own.align([t]) for t in texts] == [{k: [v[i]] for k, v in whole.items()} for i in range(len(texts))]
 
 
 def test_repeated_rows_null_ids_and_no_rows(spark):
