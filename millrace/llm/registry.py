@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bytebpe, counts, exact, language, nearjoin, packing, quality, suffix, tokenfile, warc
+from . import alignment, bytebpe, counts, exact, language, minhash, nearjoin, packing, quality, suffix, tokenfile, variants, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -16,5 +16,14 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_token_file": tokenfile.op10_token_file,
     "op11_alignment": alignment.op11_alignment,
+    "op12_minhash": minhash.op12_minhash,
+    "op13_variants": variants.op13_variants,
+}
+SQL = {
+    "op1_exact_dedup": exact.OP1_SQL,
+    "op2_suffix_dedup": suffix.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op6_near_join": nearjoin.OP6_SQL,
+    "op12_minhash": minhash.OP12_SQL,
+    "op13_variants": variants.OP13_SQL,
 }
-SQL = {"op1_exact_dedup": exact.OP1_SQL, "op2_suffix_dedup": suffix.OP2_SQL, "op5_warc": warc.OP5_SQL, "op6_near_join": nearjoin.OP6_SQL}
