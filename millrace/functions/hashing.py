@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .jsontext import exact_json
+
 
 def canonical_json(record: Column) -> Column:
     """JSON of a struct or map with sorted keys, also of what is nested in it, and nulls kept."""
@@ -15,8 +17,8 @@ def canonical_json(record: Column) -> Column:
 
 
 def sorted_json(text: Column) -> Column:
-    """JSON text with sorted keys at all depths and no spaces."""
-    return F.to_json(F.parse_json(text))
+    """JSON text with sorted keys at all depths, no spaces, and numbers as written; null for what is no JSON."""
+    return exact_json(text)
 
 
 def content_hash(*parts: Column, separator: str = "\x1f") -> Column:

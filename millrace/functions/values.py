@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsontext import pointed_json
+
 #: Seconds in each unit of a duration.
 UNIT_SECONDS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
 
@@ -18,12 +20,11 @@ def duration_seconds(text: Column) -> Column:
 
 
 def pointed(document: Column, pointer: Column) -> Column:
-    """The value that a JSON pointer (`/a/0/b`, with ~1 for / and ~0 for ~) leads to, as text; null if it leads nowhere. A segment of
-    digits is an index; the empty pointer is the document."""
-    plain = lambda x: F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-    step = lambda x: F.when(x.rlike("^(0|[1-9][0-9]*)$"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("['"), plain(x), F.lit("']")))
-    path = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(F.split(pointer, "/"), 2, 1 << 20), step), ""))
-    return F.when(pointer == "", document).otherwise(F.call_function("get_json_object", document, path))
+    """The value that a JSON pointer (`/a/0/b`, with ~1 for / and ~0 for ~) leads to, as text: strings as they are, others as exact JSON
+    (a JSON null is the text null); null if it leads nowhere. A segment is the name of a member, or the index of an item; the empty
+    pointer is the document."""
+    found = pointed_json(document, pointer)
+    return F.when(found.startswith('"'), F.try_variant_get(F.try_parse_json(found), "$", "string")).otherwise(found)
 
 
 def query_text(parameters: Column) -> Column:

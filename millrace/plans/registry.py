@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import attempts, orders, packs, preferences, records, reviews, sequences, transforms
+from . import attempts, orders, packs, preferences, records, reviews, scans, sequences, transforms
 
 FLAGSHIP = "review_gate_counts"
-QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES | preferences.QUERIES | records.QUERIES | packs.QUERIES
-SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL | preferences.SQL | records.SQL | packs.SQL
+QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES | preferences.QUERIES | records.QUERIES | packs.QUERIES | scans.QUERIES
+SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL | preferences.SQL | records.SQL | packs.SQL | scans.SQL

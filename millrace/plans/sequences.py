@@ -30,14 +30,6 @@ def running_state(spark, d):
     return state.select("event_id", "last_purchase")
 
 
-def running_prefix(spark, d):
-    """Each conversation's hashes are collected once, and an assistant's turn takes those before it."""
-    c = read(spark, d, "conversations").select("conv_id", F.struct("turn", F.md5("text").alias("h"), "role").alias("t"))
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).withColumn("hashes", F.transform("turns", lambda t: t["h"]))
-    e = g.select("conv_id", "hashes", F.posexplode("turns").alias("at", "t")).where((F.col("t.role") == "assistant") & (F.col("at") >= 2))
-    return e.select("conv_id", F.col("t.turn").alias("turn"), F.md5(F.array_join(F.slice("hashes", F.lit(1), F.col("at")), ",")).alias("prefix_md5"), (F.size("hashes") - F.col("at") - 1).cast("long").alias("n_left"))
-
-
 def boundary_slice(spark, d):
     c = seq.up_to_last(read(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "assistant")
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).cast("long").alias("n_chars"))
@@ -114,15 +106,13 @@ def type_counts_text(spark, d):
 
 
 _P = "lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
-QUERIES = {f.__name__: f for f in (turn_contiguity, event_islands, running_state, running_prefix, boundary_slice, call_adjacency, renumbered_turns, role_spans, conversation_hashes, message_chunks, event_type_summary, first_seen_types, repeat_drift, next_action_pairs, merged_intervals, canonical_props, type_counts_text)}
+QUERIES = {f.__name__: f for f in (turn_contiguity, event_islands, running_state, boundary_slice, call_adjacency, renumbered_turns, role_spans, conversation_hashes, message_chunks, event_type_summary, first_seen_types, repeat_drift, next_action_pairs, merged_intervals, canonical_props, type_counts_text)}
 SQL = {
     "turn_contiguity": "SELECT conv_id, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS ok FROM conversations GROUP BY conv_id",
     "event_islands": f"""WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM {_P} THEN 0 ELSE 1 END AS fresh FROM events),
         r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m)
         SELECT user_id, run::BIGINT AS run, event_type, count(*) AS length, arg_min(event_id, (ts, event_id)) AS first_event FROM r GROUP BY user_id, run, event_type HAVING count(*) >= 2""",
     "running_state": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events",
-    "running_prefix": """SELECT conv_id, turn, md5(array_to_string(b, ',')) AS prefix_md5, n_left FROM (SELECT *, list(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
-        count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n_left FROM conversations) WHERE role = 'assistant' AND len(b) >= 2""",
     "boundary_slice": "SELECT conv_id, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE turn <= last GROUP BY conv_id",
     "call_adjacency": "SELECT conv_id, count(*) AS n_calls, count_if(coalesce(nr = 'assistant', false))::BIGINT AS n_answered FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr FROM conversations) WHERE role = 'user' GROUP BY conv_id",
     "renumbered_turns": "SELECT conv_id, turn, printf('tool_call_%04d', row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS call_id FROM conversations WHERE NOT (role = 'user' AND length(text) < 60)",
