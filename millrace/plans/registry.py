@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import attempts, orders, packs, preferences, records, reviews, scans, sequences, transforms
+from . import attempts, lineage, orders, packs, patches, preferences, records, reviews, scans, sequences, transforms, trees
 
 FLAGSHIP = "review_gate_counts"
-QUERIES = reviews.QUERIES | sequences.QUERIES | orders.QUERIES | transforms.QUERIES | attempts.QUERIES | preferences.QUERIES | records.QUERIES | packs.QUERIES | scans.QUERIES
-SQL = reviews.SQL | sequences.SQL | orders.SQL | transforms.SQL | attempts.SQL | preferences.SQL | records.SQL | packs.SQL | scans.SQL
+QUERIES, SQL = {}, {}
+for part in (reviews, sequences, orders, transforms, attempts, preferences, records, packs, scans, lineage, patches, trees):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL

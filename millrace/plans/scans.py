@@ -10,6 +10,7 @@ from ..functions.hashing import derived_id
 from ..operators import evidence, linkage
 from ..operators.stages import fresh_folder
 from ..sources.typed import Field, accepted, rejected, scan
+from ..sources.unions import decoded_action, observation
 from .reviews import read
 
 C = F.col
@@ -146,7 +147,26 @@ def exact_record_hashes(spark, d):
     return _order_records(spark, d).select("o_orderkey", F.md5(jsontext.exact_json(C("record"))).alias("record_md5"), jsontext.nesting(C("record")).cast("long").alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (typed_order_rejects, typed_trace_rejects, typed_order_totals, order_links, calls_removed, running_prefix, rebuilt_evidence, records_without_times, records_with_placeholders, exact_record_hashes)}
+def _outputs(spark, d):
+    """Orders as what an agent said: by priority answers, calls of a tool that lists, of one that reads, unknown actions, and others."""
+    price, of = C("o_totalprice"), lambda n: C("o_orderpriority").startswith(n)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    said = (
+        F.when(of("1"), text('{"action": "final_answer", "text": "', F.when(price < 100_000, "").otherwise(C("o_orderstatus")), '"}'))
+        .when(of("2"), text('{"tool_name": "list_files", "action": "tool_call", "arguments": {"max_depth": ', C("o_custkey") % 8, F.when(price < 100_000, ', "path": ""').otherwise(""), "}}"))
+        .when(of("3"), text('{"action": "tool_call", "tool_name": "read_file"', F.when(price > 200_000, ', "arguments": {"path": "a/b"}').when(price < 50_000, ', "arguments": [1]').otherwise(""), "}"))
+        .when(of("4"), text("{", F.when(price > 200_000, '"action": "think"').when(price < 50_000, '"action": 7').otherwise('"text": "?"'), "}"))
+        .otherwise(text('{"action": "tool_call", "tool_name": "', F.when(price > 200_000, "rm").otherwise("run_tests"), '", "arguments": {"command": "go", "x": 1}', F.when(price < 100_000, ', "note": 1').otherwise(""), "}", F.when(price < 50_000, "}").otherwise("")))
+    )
+    return read(spark, d, "orders").select("o_orderkey", said.alias("said"))
+
+
+def decoded_actions(spark, d):
+    rows = _outputs(spark, d).select("o_orderkey", decoded_action(C("said")).alias("a"), observation(C("said")).alias("o"))
+    return rows.select("o_orderkey", "a.error", "a.tag", "a.tool_name", "a.text", F.to_json("a.arguments").alias("arguments"), "a.tool.path", "a.tool.max_depth", "a.tool.max_files", "a.tool.command", C("o.error").alias("seen"))
+
+
+QUERIES = {f.__name__: f for f in (decoded_actions, typed_order_rejects, typed_trace_rejects, typed_order_totals, order_links, calls_removed, running_prefix, rebuilt_evidence, records_without_times, records_with_placeholders, exact_record_hashes)}
 
 _LINES = """ob AS (SELECT *, o_orderstatus = 'P' AS p, left(o_orderpriority, 1) AS n FROM orders),
     ol AS (SELECT o_orderkey // 4000 AS part, o_orderkey, '{"o_orderkey": ' || o_orderkey || ', "o_custkey": ' || CASE WHEN o_custkey < 20 THEN 'null' ELSE o_custkey::VARCHAR END || ', ' || CASE WHEN p AND n = '4' THEN '' ELSE '"o_orderstatus": "' || o_orderstatus || '", ' END
@@ -208,4 +228,13 @@ SQL = {
     "records_without_times": _records("in <SECONDS>", "", "", "") + " SELECT o_orderkey, normal FROM rec",
     "records_with_placeholders": _records("in <SECONDS>", '"created_at":"<CREATED_AT>",', '"duration_ms":"<DURATION_MS>",', '"created_at":"<CREATED_AT>",') + " SELECT o_orderkey, normal FROM rec",
     "exact_record_hashes": _records("in ' || l_suppkey || '.5s", '"created_at":null,', """"duration_ms":{"v":[' || l_quantity || ']},""", """"created_at":"' || o_orderdate || '",""") + """ SELECT o_orderkey, md5(normal) AS record_md5, CASE WHEN normal LIKE '%"lines":[]%' THEN 2 ELSE 5 END AS depth FROM rec""",
+    "decoded_actions": """WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1) AS n, o_totalprice AS p, o_orderstatus AS s, o_custkey % 8 AS k FROM orders),
+        e AS (SELECT *, CASE n WHEN '1' THEN CASE WHEN p < 100000 THEN 'text: empty' END WHEN '2' THEN CASE WHEN p < 100000 THEN 'arguments.path: empty' WHEN k > 5 THEN 'arguments.max_depth: not between 0 and 5' END
+            WHEN '3' THEN CASE WHEN p > 200000 THEN NULL WHEN p < 50000 THEN 'arguments: no object' ELSE 'arguments.path: missing' END WHEN '4' THEN CASE WHEN p > 200000 THEN 'action: unknown think' WHEN p < 50000 THEN 'action: unknown 7' ELSE 'action: missing' END
+            ELSE CASE WHEN p < 50000 THEN 'no JSON' WHEN p < 100000 THEN 'unknown field note' WHEN p > 200000 THEN 'arguments.tool_name: unknown rm' ELSE 'arguments.unknown field x' END END AS error FROM o),
+        f AS (SELECT *, error IS NULL OR (error LIKE 'arguments.%') AS action FROM e)
+        SELECT o_orderkey, error, CASE WHEN action THEN CASE n WHEN '1' THEN 'final_answer' ELSE 'tool_call' END END AS tag, CASE WHEN action THEN CASE n WHEN '2' THEN 'list_files' WHEN '3' THEN 'read_file' WHEN '5' THEN CASE WHEN p > 200000 THEN 'rm' ELSE 'run_tests' END END END AS tool_name,
+            CASE WHEN action AND n = '1' THEN s END AS text, CASE WHEN action THEN CASE n WHEN '2' THEN '{"max_depth":' || k || CASE WHEN p < 100000 THEN ',"path":""' ELSE '' END || '}' WHEN '3' THEN CASE WHEN p > 200000 THEN '{"path":"a/b"}' ELSE '{}' END WHEN '5' THEN '{"command":"go","x":1}' END END AS arguments,
+            CASE WHEN error IS NULL THEN CASE n WHEN '2' THEN '.' WHEN '3' THEN 'a/b' END END AS path, CASE WHEN error IS NULL AND n = '2' THEN k END AS max_depth, CASE WHEN error IS NULL AND n = '2' THEN 200 END AS max_files, NULL AS command,
+            CASE WHEN error = 'no JSON' THEN 'observation is no JSON' END AS seen FROM f""",
 }

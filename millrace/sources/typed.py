@@ -18,7 +18,7 @@ AS_TYPE = {"string": "string", "integer": "decimal(38,0)", "number": "double", "
 @dataclass(frozen=True)
 class Field:
     """A field of a record: its kind (KINDS), whether it must be there, whether it may be null, and what must hold for its value,
-    by name of the rule; `as_type` overrides the column type of the kind."""
+    by name of the rule; `as_type` overrides the column type of the kind, and `default` is for decoders that fill in what is not there."""
 
     name: str
     kind: str
@@ -26,6 +26,11 @@ class Field:
     nullable: bool = False
     rules: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
     as_type: str | None = None
+    default: object = None
+
+    @property
+    def column_type(self) -> str:
+        return self.as_type or AS_TYPE[self.kind]
 
     @property
     def path(self) -> str:
@@ -48,15 +53,15 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return raw.join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def _type_of(value: Column) -> Column:
+def type_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _problem(field: Field, record: Column) -> Column:
+def problem_of(field: Field, record: Column) -> Column:
     """What is wrong with one field of a record, or null."""
     held = F.try_variant_get(record, field.path, "variant")
-    kind = _type_of(held)
-    value = F.try_variant_get(record, field.path, field.as_type or AS_TYPE[field.kind])
+    kind = type_of(held)
+    value = F.try_variant_get(record, field.path, field.column_type)
     is_null = held.isNotNull() & (kind == "VOID")
     say = lambda text: F.lit(f"{field.name}: {text}")
     found = F.when(held.isNull(), say("missing") if field.required else F.lit(None))
@@ -80,13 +85,13 @@ def scan(spark: SparkSession, path: str | Sequence[str], fields: Sequence[Field]
         lines = lines.where(~is_blank)
     lines = lines.withColumn("record", parsed(F.col("value")))
     record = F.col("record")
-    reason = F.when(is_blank, "blank line").when(record.isNull(), "no JSON").when(~_type_of(record).startswith("OBJECT"), "no object")
+    reason = F.when(is_blank, "blank line").when(record.isNull(), "no JSON").when(~type_of(record).startswith("OBJECT"), "no object")
     if closed:
         strange = F.array_min(F.array_except(F.json_object_keys("value"), F.array(*(F.lit(f.name) for f in fields))))
         reason = reason.when(strange.isNotNull(), F.concat(F.lit("unknown field "), strange))
-    reason = reason.otherwise(F.coalesce(*(_problem(f, record) for f in fields)))
+    reason = reason.otherwise(F.coalesce(*(problem_of(f, record) for f in fields)))
     lines = lines.withColumn("reason", reason)
-    values = [F.when(F.col("reason").isNull(), F.try_variant_get(record, f.path, f.as_type or AS_TYPE[f.kind])).alias(f.name) for f in fields]
+    values = [F.when(F.col("reason").isNull(), F.try_variant_get(record, f.path, f.column_type)).alias(f.name) for f in fields]
     return lines.select("file", "line", "reason", *values)
 
 
