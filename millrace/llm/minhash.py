@@ -12,8 +12,11 @@ limit and in fewer above it. Candidates are confirmed on their full sets.
   a pair has in common there is looked up in the two signatures.
 * Merging. The sets of a list all meet its most shared set, the one with most lists; the pairs that all lists give are merged and
   each counted once. Then sets are in components, and a list is skipped if it is in one of them; else its sets meet the most
-  shared one that is in a component which has led none of the rounds there, and after STAR_ROUNDS of them, each other, as far as
-  they are in different components. So no group of copies is compared pair by pair, and no pair of a list is left out.
+  shared one that is in a component which has led none of the rounds there. After STAR_ROUNDS of them those in different components
+  meet each other, in blocks of BLOCK sets: the rows of a list hold what is compared, and only pairs that pass leave the task. So no
+  group of copies is compared pair by pair, and no pair of a list is left out.
+* Sketches. Besides the count of coordinates that agree, pairs are held against the parities of their features in SKETCH_BITS places:
+  linked sets differ in at most a ninth of their sizes' sum, and no more bits than features can differ.
 
 Equal sets are one from the start.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, discard, documents, id_text, pool, table, tidied
+from .common import by_bytes, discard, documents, id_text, partitions, pool, table, tidied
 from .graph import components
 from .nearjoin import of_ids, shingle_sets
 from .suffix import mixed
@@ -39,11 +42,15 @@ COORDINATES = 64
 MATCHES = 25
 #: Rounds in which the sets of a list meet one of them before those left meet each other.
 STAR_ROUNDS = 3
+#: Sets of a list that one task holds against as many others at a time.
+BLOCK = 1000
+SKETCH_BITS = 2048
 
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _OWN = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(1 << 32))
 
 SIGNED = "doc_id bigint, n_shingles bigint, digest binary, coords array<bigint>, brief binary"
+MET = "c bigint, i int, j int, block int, node bigint, comp bigint, brief binary"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,21 +77,51 @@ def _digest(features: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(features.tobytes())
 
 
+def briefs(found: np.ndarray, sets: list[np.ndarray]) -> list[bytes]:
+    """What pairs are held against: 16 bits of each coordinate, the parities of the features, the size. Equal coordinates have equal
+    bits, so a count of these is never too low."""
+    out = []
+    for row, features in zip(found.astype("<u2"), sets, strict=True):
+        places = (mixed(features + np.uint64(1)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+        out.append(row.tobytes() + odd.tobytes() + len(features).to_bytes(8, "little"))
+    return out
+
+
+class Briefs:
+    """The columns of many briefs."""
+
+    def __init__(self, column: pa.Array):
+        rows = pool(column)[0].reshape(-1, 2 * COORDINATES + SKETCH_BITS // 8 + 8)
+        part = lambda a, b, kind: np.ascontiguousarray(rows[:, a:b]).view(kind)
+        ends = (0, 2 * COORDINATES, rows.shape[1] - 8, rows.shape[1])
+        self.coords, self.odd, self.size = part(ends[0], ends[1], "<u2"), part(ends[1], ends[2], "<u8"), part(ends[2], ends[3], "<i8")[:, 0]
+
+    def likely(self, mine: np.ndarray, other: Briefs, theirs: np.ndarray) -> np.ndarray:
+        """Of the rows `mine` (or one row) and the rows `theirs` of another, those that may link."""
+        sizes = self.size[mine], other.size[theirs]
+        left = np.flatnonzero(100 * np.minimum(*sizes) >= LEAST * np.maximum(*sizes))
+        at = lambda x: x[left] if len(x) > 1 else x
+        left = left[(self.coords[at(mine)] == other.coords[theirs[left]]).sum(axis=1) >= MATCHES]
+        bits = np.bitwise_count(self.odd[at(mine)] ^ other.odd[theirs[left]]).sum(axis=1, dtype=np.int64)
+        return left[(100 - LEAST) * (self.size[at(mine)] + other.size[theirs[left]]) >= (100 + LEAST) * bits]
+
+
 def _sign(batches):
-    """Rows of SIGNED. brief: 16 bits of each coordinate; equal coordinates have equal ones, so a count of these is never too low."""
+    """Rows of SIGNED."""
     for batch in batches:
         for ids, sets in _steps(batch):
             full = np.array([len(s) > 0 for s in sets], dtype=bool)
             found = signatures([s for s in sets if len(s)])
             ends = np.concatenate([[0], np.cumsum(full) * COORDINATES])
-            short = iter(found.astype("<u2"))
+            short = iter(briefs(found, [s for s in sets if len(s)]))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.reshape(-1).view(np.int64))),
-                    pa.array([next(short).tobytes() if x else b"" for x in full], pa.binary()),
+                    pa.array([next(short) if x else b"" for x in full], pa.binary()),
                 ],
                 names=[c.split(" ")[0] for c in SIGNED.split(", ")],
             )
@@ -96,13 +133,51 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "features"])
 
 
-def _agreeing(batches):
-    """Pairs whose signatures agree in enough coordinates."""
+def _likely(batches):
+    """Pairs that signatures and sketches let through."""
+    for batch in batches:
+        every = np.arange(batch.num_rows)
+        if len(every):
+            yield batch.select(["a", "b"]).take(pa.array(Briefs(batch.column("brief_a")).likely(every, Briefs(batch.column("brief_b")), every)))
+
+
+def _groups(batches):
+    """Tables of the rows of one (c, i, j) each; rows come in that order."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(pool(batch.column(c))[0].tobytes(), "<u2").reshape(-1, COORDINATES) for c in ("brief_a", "brief_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= MATCHES))
+        keys = [batch.column(k).to_numpy() for k in ("c", "i", "j")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in ("c", "i", "j")):
+            cuts = np.concatenate([[0], cuts])
+        at = 0
+        for cut in [*cuts.tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if cut < batch.num_rows and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meet(batches):
+    """Of the rows of MET, the pairs in different components that signatures and sketches let through."""
+    for group in _groups(batches):
+        group = group.combine_chunks()
+        rows, node, comp, block = Briefs(group.column("brief")), *(group.column(c).to_numpy() for c in ("node", "comp", "block"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        found = []
+        for x in np.flatnonzero(block == i):
+            others = np.flatnonzero((block == j) & (comp != comp[x]) & ((node > node[x]) if i == j else True))
+            if len(others):
+                others = others[rows.likely(np.array([x]), rows, others)]
+                found.append((np.full(len(others), node[x]), node[others]))
+        if any(len(a) for a, _ in found):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -125,15 +200,30 @@ def _with_ends(pairs: DataFrame, ends: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
 
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A table of the pairs (a, b) that may link by signatures and sketches."""
+    return table(_with_ends(pairs, classes, "brief").mapInArrow(tidied(_likely), "a bigint, b bigint"), "minhash-pairs")
+
+
+def likely_in_lists(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same of all pairs in different components of the lists left (c, node, comp), compared where the rows of a list are. A list of
+    more than BLOCK sets is divided, and every two of its blocks meet in a place of their own."""
+    blocks = left.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = left.select("c", "node", "comp").join(blocks, "c").join(classes.select("node", "brief"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "brief")
+    met = met.repartition(partitions(left), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return table(met.mapInArrow(tidied(_meet), "a bigint, b bigint").distinct(), "minhash-pairs")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """A table of the pairs (a, b) that link: first by signatures, then by full sets, for which only the texts of pairs left are read."""
-    agreeing = table(_with_ends(pairs, classes, "brief").mapInArrow(tidied(_agreeing), "a bigint, b bigint"), "minhash-pairs")
-    nodes = agreeing.select(F.col("a").alias("node")).union(agreeing.select("b")).distinct()
+    """A table of the pairs (a, b) of a table that link, by their full sets; only the texts of these pairs are read."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = table(classes.join(nodes, "node").select("node", "digest", F.col("least").alias("doc_id")), "minhash-nodes")
     sets = of_ids(rows, named.select("doc_id").distinct()).mapInArrow(tidied(_features), "digest binary, features binary").dropDuplicates(["digest"])
     sets = table(named.join(sets, "digest").select("node", "features"), "minhash-sets")
-    found = table(_with_ends(agreeing, sets, "features").mapInArrow(tidied(_confirm), "a bigint, b bigint"), "minhash-links")
-    discard(agreeing, named, sets)
+    found = table(_with_ends(pairs, sets, "features").mapInArrow(tidied(_confirm), "a bigint, b bigint"), "minhash-links")
+    discard(pairs, named, sets)
     return found
 
 
@@ -157,11 +247,10 @@ def linked_nodes(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
         if step < STAR_ROUNDS:
             centre = left.groupBy("c").agg(F.max(F.struct((~F.col("led")).alias("fresh"), "n_lists", "node", "size", "comp")).alias("m"))
             left = left.join(centre.select("c", F.col("m.node").alias("node_b"), F.col("m.size").alias("size_b"), F.col("m.comp").alias("comp_b")), "c")
-            tried = left
+            new = likely(left.where(fits).select(*pair).distinct(), classes)
         else:
-            other = left.select("c", *(F.col(x).alias(f"{x}_b") for x in ("node", "size", "comp")))
-            tried = left.join(other, "c").where(F.col("node") < F.col("node_b"))
-        new = confirmed(tried.where(fits).select(*pair).distinct(), classes, rows)
+            new = likely_in_lists(left, classes)
+        new = confirmed(new, classes, rows)
         if new.limit(1).count():
             links = new if links is None else table(links.unionByName(new), "minhash-links")
             labels = components(links)

@@ -65,9 +65,10 @@ def families(seed: int = 11) -> dict[int, str]:
     return texts
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_against_all_pairs(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds,block", [(0, 1000), (0, 2), (1, 3), (3, 1000)])
+def test_against_all_pairs(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = families(rounds)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("c", "node", "size", "comp", "digest", "n_lists")}).repartition(5)
     assert results(minhash.near_copies(docs)) == plain(texts)
