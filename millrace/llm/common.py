@@ -71,6 +71,14 @@ def partitions(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // SHARE_BYTES))
 
 
+def free_name(taken, name: str) -> str:
+    """`name`, with as many underscores behind it as make it none of the names taken; names that differ in case only are one."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

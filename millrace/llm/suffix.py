@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, id_text, partitions, pool, table, text_steps, tidied
+from .common import by_bytes, documents, free_name, id_text, partitions, pool, table, text_steps, tidied
 
 LENGTH = 100
 SEED = 32
@@ -458,17 +458,18 @@ def whole_characters(raw: bytes, starts: list[int], stops: list[int]) -> tuple[l
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with what is repeated cut out of text, in whole characters, and n_chars, if docs has it, set anew where
-    something was. Documents of which nothing is left are gone. Null text stays as it is. Ids are as in `suffix_dedup`; columns of
-    any name but `millrace_runs` may be there."""
-    rows, searched = keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))) if docs.schema["text"].nullable else docs)
-    spans = merged_spans(repeated_spans(searched, length)).select(F.col("doc_id").alias("key"), F.struct("starts", "stops").alias("millrace_runs"))
+    something was. Documents of which nothing is left are gone. Null text stays as it is. Ids are as in `suffix_dedup`; other
+    columns may have any names and are as they were."""
+    key, cut = (free_name(docs.columns, n) for n in ("key", "runs"))
+    rows, searched = keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))) if docs.schema["text"].nullable else docs, key)
+    spans = merged_spans(repeated_spans(searched, length)).select(F.col("doc_id").alias(key), F.struct("starts", "stops").alias(cut))
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             texts, keep = batch.column("text").to_pylist(), []
             counts = batch.column("n_chars").to_pylist() if "n_chars" in schema.names else None
-            for k, runs in enumerate(batch.column("millrace_runs").to_pylist()):
+            for k, runs in enumerate(batch.column(cut).to_pylist()):
                 if runs and texts[k]:
                     texts[k] = kept_pieces(texts[k].encode(), *whole_characters(texts[k].encode(), runs["starts"], runs["stops"])).decode()
                     if counts:
@@ -480,22 +481,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in schema.names], names=schema.names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return rows.join(spans, "key", "left").select(*schema.names, "millrace_runs").mapInArrow(tidied(run), schema)
+    names = [F.col(f"`{c}`") for c in (*schema.names, cut)]
+    return rows.join(spans, key, "left").select(*names).mapInArrow(tidied(run), schema)
 
 
-def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, text and others) with a column `key`, and doc_id and text of the documents that are searched, by key, ascending in
-    doc_id. The key is the id unless some id is repeated; rows without id have none."""
+def keyed(rows: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text and others) with a column `key`, a name that they do not have, and doc_id and text of the documents that are
+    searched, by key, ascending in doc_id. The key is the id unless some id is repeated; rows without id have none."""
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
     if not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        with_key = rows.withColumn("key", F.col("doc_id").cast("long"))
-        return with_key, with_key.where(F.col("key").isNotNull()).select(F.col("key").alias("doc_id"), "text")
-    marked = rows.withColumn("millrace_mark", F.sha2("text", 256))
-    own = marked.where(F.col("doc_id").isNotNull()).select("doc_id", "millrace_mark", "text").dropDuplicates(["doc_id", "millrace_mark"])
-    own = own.repartitionByRange(partitions(rows), "doc_id", "millrace_mark").sortWithinPartitions("doc_id", "millrace_mark")
-    own = table(own.withColumn("key", F.monotonically_increasing_id()), "suffix-keys")
-    with_key = marked.join(own.select("doc_id", "millrace_mark", "key"), ["doc_id", "millrace_mark"], "left").select(*rows.columns, "key")
-    return with_key, own.select(F.col("key").alias("doc_id"), "text")
+        with_key = rows.withColumn(key, F.col("doc_id").cast("long"))
+        return with_key, with_key.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text")
+    mark = free_name([*rows.columns, key], "mark")
+    marked = rows.withColumn(mark, F.sha2("text", 256))
+    own = marked.where(F.col("doc_id").isNotNull()).select("doc_id", mark, "text").dropDuplicates(["doc_id", mark])
+    own = own.repartitionByRange(partitions(rows), "doc_id", mark).sortWithinPartitions("doc_id", mark)
+    own = table(own.withColumn(key, F.monotonically_increasing_id()), "suffix-keys")
+    with_key = marked.join(own.select("doc_id", mark, key), ["doc_id", mark], "left").select(*(F.col(f"`{c}`") for c in (*rows.columns, key)))
+    return with_key, own.select(F.col(key).alias("doc_id"), "text")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
