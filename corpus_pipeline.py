@@ -11,26 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact, language, nearjoin, packing, suffix
-from millrace.llm.common import documents, partitions, table
+from millrace.llm.common import documents, free_name, partitions, table
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for every row in doc_id, and doc_id as it was in `own_id`.
+def by_row(docs: DataFrame, own: str) -> DataFrame:
+    """docs with a key of its own for every row in doc_id, and doc_id as it was in `own`, a name that docs does not have.
 
     Keys are in the order of doc_id, null last, then of text: the least key is the row that stays. Ids that are neither null nor
     repeated are keys already.
     """
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    docs = docs.withColumn("own_id", F.col("doc_id"))
+    docs = docs.withColumn(own, F.col("doc_id"))
     if not odd:
         return docs
-    order = [F.col("own_id").isNull(), F.col("own_id"), F.xxhash64("text"), F.col("at")]
-    dealt = docs.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
-    return table(dealt.withColumn("doc_id", F.monotonically_increasing_id()).drop("at"), "pipeline-rows")
+    at = free_name(docs.columns, "at")
+    order = [F.col(own).isNull(), F.col(own), F.xxhash64("text"), F.col(at)]
+    dealt = docs.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    return table(dealt.withColumn("doc_id", F.monotonically_increasing_id()).drop(at), "pipeline-rows")
 
 
-def with_own_ids(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("own_id")).select(*columns)
+def on_rows(docs: DataFrame, stage) -> DataFrame:
+    """What a stage makes of docs with a key for every row, with doc_id and columns as they were."""
+    own = free_name(docs.columns, "own_id")
+    return stage(by_row(docs, own)).withColumn("doc_id", F.col(own)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,22 +42,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal ones; repeated rows are a group."""
-    rows = by_row(docs)
-    dropped = exact.exact_dedup(rows).where(~F.col("kept")).select("doc_id")
-    return with_own_ids(rows.join(dropped, "doc_id", "left_anti"), docs.columns)
+    """The row that stays of each group of equal ones; repeated rows are a group, as are all without text. Null ids lose ties. Other
+    columns may have any names; an empty table stays empty."""
+
+    def stage(rows: DataFrame) -> DataFrame:
+        return rows.join(exact.exact_dedup(rows).where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
+
+    return on_rows(docs, stage)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each group of near copies; rows without id come last."""
-    rows = by_row(docs)
-    dropped = nearjoin.near_groups(rows).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return with_own_ids(rows.join(dropped, "doc_id", "left_anti"), docs.columns)
+    """The row of least id of each group of near copies; rows without id come last, rows without words stay. Other columns may have
+    any names; an empty table stays empty."""
+
+    def stage(rows: DataFrame) -> DataFrame:
+        return rows.join(nearjoin.near_groups(rows).where(F.col("component_id") != F.col("doc_id")).select("doc_id"), "doc_id", "left_anti")
+
+    return on_rows(docs, stage)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated strings of 100 bytes."""
-    return with_own_ids(suffix.without_repeats(by_row(docs)), docs.columns)
+    """Texts without the bytes of repeated strings of 100 bytes, the first in the order of ids apart; those of which nothing is left go,
+    null texts become empty. Other columns may have any names; an empty table stays empty."""
+    return on_rows(docs, suffix.without_repeats)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
