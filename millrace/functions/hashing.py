@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -37,8 +39,17 @@ def ordered_hash(ordinal: Column, child: Column) -> Column:
 
 
 def normalized_text(text: Column) -> Column:
-    """Lower case, white space as single spaces, ends trimmed."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """Compatibility forms (NFKC) and lower case, white space of any kind as single spaces, ends trimmed.
+
+    Spark has no Unicode normalization: texts with more than ASCII go through an Arrow function, which others pass as nulls.
+    """
+    is_ascii = text.rlike(r"\A\p{ASCII}*\z")
+
+    def folded(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()))
+
+    native = F.lower(F.trim(F.regexp_replace(text, r"[\s\x0b\x1c-\x1f]+", " ")))
+    return F.when(is_ascii, native).otherwise(F.pandas_udf(folded, StringType())(F.when(~is_ascii, text)))
 
 
 def content_digest(content: Column) -> Column:

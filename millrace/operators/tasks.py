@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stages import cut
+from .trees import numbered
 
 
 #: Rules that are held against every subject.
@@ -29,6 +30,32 @@ def pick(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def _once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, of a table in which they are there once; a repeated key fails the job."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    told = F.raise_error(F.concat(F.lit("there more than once: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))))
+    return counted.where((F.col("__n") == 1) | told.cast("boolean")).select(*keys)
+
+
+def latest_versions(df: DataFrame, key: str, version: str, order: list[str]) -> DataFrame:
+    """The row of the highest version of each key, and `place`: the row's place, from 0, among the keys in the order in which they first
+    appear (`order`, which tells rows apart). The same version of a key twice fails the job.
+
+    Places are counted over all keys without one task for all (`trees.numbered`).
+    """
+    once = _once(df, [key, version]).groupBy(key).agg(F.max(version).alias(version))
+    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
+    placed = numbered(first.select(key, *(F.col(f"__first.{c}").alias(f"__{i}") for i, c in enumerate(order))), [f"__{i}" for i in range(len(order))], "place")
+    return df.join(once, [key, version], "left_semi").join(placed.select(key, "place"), key)
+
+
+def counts_by_status(df: DataFrame, key: str, status: str) -> DataFrame:
+    """(status, n) over rows whose keys are there once: a repeated key fails the job, null keys do not count as one."""
+    named = df.where(F.col(key).isNotNull())
+    kept = named.join(_once(named, [key]), key, "left_semi").unionByName(df.where(F.col(key).isNull()))
+    return kept.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def allocation(demand: DataFrame, request: str, item: str, wanted: str, stock: DataFrame, item_key: str, held: str) -> DataFrame:
     """All or nothing per request: request, status (allocated, shortfall, unknown item) and how many items fall short."""
     need = demand.groupBy(request, item).agg(F.sum(wanted).alias("wanted"))

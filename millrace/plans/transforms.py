@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..operators import tasks
+from ..operators.stages import fresh_folder
+from ..sources.delimited import scan_delimited
 from .reviews import read
 
 
@@ -99,7 +102,29 @@ def stable_orders(spark, d):
     return n.select("n_nationkey", F.array_join(values.stable_order(F.array(*map(node, "abcde")), F.concat(F.array(edge("a", "c"), edge("e", "a"), edge("c", "d")), more)), "").alias("order"))
 
 
-QUERIES = {f.__name__: f for f in (durations, pointed_values, query_strings, relative_paths, expanded_templates, env_assignments, header_merges, order_ratios, csv_projection, json_status_counts, utf8_batch_sizes, stable_orders)}
+def delimited_parts(spark, d):
+    """Parts as CSV in files of 500, with names in quotes; rows of size 1 lack a field, those of size 2 have an open quote."""
+    quoted = F.concat(F.lit('"say ""'), "p_name", F.lit('"", ok"'))
+    line = F.concat(F.when(F.col("p_size") == 2, F.concat(F.lit('"'), "p_name")).otherwise(quoted), F.when(F.col("p_size") == 1, "").otherwise(F.concat(F.lit(","), F.col("p_size").cast("string"))), F.lit(","), F.col("p_partkey").cast("string"))
+    files = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 500).alias("part"), F.col("p_partkey").alias("k"), line.alias("value"))
+    head = files.groupBy("part").agg(F.lit(-1).cast(files.schema["k"].dataType).alias("k"), F.max(F.when(F.col("part") == 1, "name,size,size").otherwise("name,size,key")).alias("value"))
+    path = fresh_folder(spark, "parts")
+    files.unionByName(head).repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(path)
+    rows = scan_delimited(spark, path, ["key", "name"])
+    return rows.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "reason", "key", "name")
+
+
+def latest_pages(spark, d):
+    """Of the pages of a host the one with the greatest number, hosts in the order of their first address."""
+    pages = read(spark, d, "pages").select("page_id", "url", F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"))
+    return tasks.latest_versions(pages, "host", "page_id", ["url", "page_id"]).select("host", "page_id", "place")
+
+
+def unique_status_counts(spark, d):
+    return tasks.counts_by_status(read(spark, d, "orders"), "o_orderkey", "o_orderstatus")
+
+
+QUERIES = {f.__name__: f for f in (durations, pointed_values, query_strings, relative_paths, expanded_templates, env_assignments, header_merges, order_ratios, csv_projection, json_status_counts, utf8_batch_sizes, stable_orders, delimited_parts, latest_pages, unique_status_counts)}
 
 SQL = {
     "durations": """SELECT p_partkey, round(((p_partkey % 50) + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0 END)::DOUBLE * [0.001, 1, 60, 3600, NULL, NULL][(p_partkey % 6)::INT + 1]::DOUBLE, 6) AS seconds FROM part""",
@@ -121,4 +146,10 @@ SQL = {
           FROM w JOIN t ON t.conv_id = w.conv_id AND t.pos = w.pos + 1)
         SELECT conv_id, batch::INT AS batch, count(*) AS n, min(pos)::INT AS first FROM w GROUP BY conv_id, batch""",
     "stable_orders": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'dbcae' WHEN 1 THEN NULL ELSE 'bdcae' END AS \"order\" FROM nation",
+    "delimited_parts": """WITH r AS (SELECT p_partkey // 500 AS part, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) + 1 AS line, * FROM part),
+        w AS (SELECT *, CASE WHEN part = 1 THEN 'header: twice size' WHEN p_size = 2 THEN 'open quote' WHEN p_size = 1 THEN '2 fields of 3' END AS reason FROM r)
+        SELECT part, line, reason, CASE WHEN reason IS NULL THEN p_partkey::VARCHAR END AS key, CASE WHEN reason IS NULL THEN 'say "' || p_name || '", ok' END AS name FROM w""",
+    "latest_pages": """WITH p AS (SELECT page_id, url, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages), f AS (SELECT host, max(page_id) AS page_id, min((url, page_id)) AS f FROM p GROUP BY host)
+        SELECT host, page_id, row_number() OVER (ORDER BY f) - 1 AS place FROM f""",
+    "unique_status_counts": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
 }

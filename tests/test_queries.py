@@ -38,9 +38,9 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-#: Chains of hashes are folded in order by Arrow functions; markers and rules that no key can find are few, which is counted first, and
+#: Chains of hashes are folded in order, and texts beyond ASCII normalized, by Arrow functions; markers and rules that no key can find are few, which is counted first, and
 #: single rows, or a handful of defaults, go to all tasks.
-IN_PYTHON = {"running_prefix", "rebuilt_evidence"}
+IN_PYTHON = {"running_prefix", "rebuilt_evidence", "normalized_duplicates"}
 NESTED_LOOPS = {"benchmark_containment", "scope_verdicts", "leakage_scan", "tree_changes", "bounded_tree", "included_settings"}
 
 
