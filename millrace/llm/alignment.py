@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, id_text, table, text_steps, tidied
+from .common import documents, id_text, pool, table, text_steps, tidied
 from .tokens import BYTE_LETTERS
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,7 +34,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of text in a step, and characters beyond which a text is encoded in parts.
 STEP = 1 << 19
 LONG_TEXT = 1 << 20
-#: Codes of single documents that a task gathers before it sums them.
+#: Distinct codes of batches that a task gathers before it sums them.
 KEPT_CODES = 1 << 20
 #: Salted keys of a pair in the first of two stages of counting.
 SALTS = 16
@@ -216,7 +216,7 @@ def _schema() -> pa.Schema:
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Codes, ascending, and the sums of their counts in all parts."""
-    codes, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)]), return_inverse=True)
+    codes, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c.astype(np.uint64) for c, _ in parts)]), return_inverse=True)
     sums = np.zeros(len(codes), dtype=np.int64)
     np.add.at(sums, at, np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))
     return codes, sums
@@ -228,12 +228,13 @@ def pair_counts(aligned: DataFrame, code_type: str) -> DataFrame:
     def run(batches):
         kept: list = []
         for batch in batches:
-            for x in batch.column("links").to_pylist():
-                kept.append(np.unique(np.frombuffer(x, code_type).astype(np.int64), return_counts=True))
-                if sum(len(codes) for codes, _ in kept[1:]) > KEPT_CODES:
-                    kept = [_summed(kept)]
+            if batch.num_rows:
+                codes = np.frombuffer(pool(batch.column("links"))[0].tobytes(), code_type)
+                kept.append(np.unique(codes, return_counts=True))
+            if sum(len(codes) for codes, _ in kept[1:]) > KEPT_CODES:
+                kept = [_summed(kept)]
         codes, counts = _summed(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], names=["code", "n"])
 
     own = aligned.select("links").mapInArrow(tidied(run), "code bigint, n bigint")
     salted = own.groupBy("code", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.sum("n").alias("n"))
