@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linkage, materialize
+from ..operators.candidates import candidate_counts, candidates
 from ..operators.lineage import Chain, Derived
 from ..operators.stages import fresh_folder
 from .reviews import read
@@ -95,7 +96,38 @@ def miscounted_examples(spark, d):
     return materialize.miscounted(declared, _examples(spark, d), SUMS)
 
 
-QUERIES = {f.__name__: f for f in (tampered_lineage, materialized_examples, materialized_pairs, miscounted_examples)}
+def _candidates(spark, d):
+    """Documents as runs, judged by what their texts hold, and labels as reviews; documents without a label are not reviewed."""
+    t, n = C("text"), F.length("text")
+    runs = read(spark, d, "documents").select(
+        "doc_id",
+        F.when(C("source").isin("src0", "src1"), "scripted").otherwise("model").alias("policy_type"),
+        F.when(C("lang") == "fr", "heldout").otherwise("train").alias("split"),
+        F.contains(t, F.lit("@")).alias("leaked"),
+        F.contains(t, F.lit("###")).alias("failed"),
+        F.when(n < 200, "incomplete").otherwise("complete").alias("detection"),
+        F.when(n > 6000, "confirmed").when(n > 2500, "ambiguous").otherwise("not_detected").alias("finding"),
+        (n % 2 == 0).alias("task_success"),
+        F.when(n % 7 != 0, C("source")).alias("agent_id"),
+        F.when(n % 9 != 0, C("lang")).alias("run_status"),
+    )
+    labels = read(spark, d, "labels").select("doc_id", "quality", "toxic")
+    decision = F.when(C("toxic") == 1, F.when(C("quality") == 1, "needs_followup").otherwise("unclear")).when(C("quality") == 1, "accepted").when(C("quality") == 0, "rejected")
+    reviews = read(spark, d, "documents").select("doc_id", "n_chars", n.alias("size")).join(labels, "doc_id", "left")
+    hack = F.when(C("size").between(2501, 4000) & (C("quality") == 1), F.when(C("size") < 3000, "cleared").when(C("size") < 3500, "confirmed").otherwise("unclear"))
+    reviews = reviews.select("doc_id", F.when(C("quality").isNull(), "not_reviewed").otherwise("reviewed").alias("status"), decision.alias("decision"), hack.alias("hack_decision"))
+    return candidates(runs, reviews, "doc_id", ["agent_id", "run_status"], "model", ("heldout",))
+
+
+def training_candidates(spark, d):
+    return _candidates(spark, d).withColumn("missing", F.array_join("missing", ","))
+
+
+def training_candidate_counts(spark, d):
+    return candidate_counts(_candidates(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (tampered_lineage, materialized_examples, materialized_pairs, miscounted_examples, training_candidates, training_candidate_counts)}
 
 _M = """m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, CASE WHEN length(text) % 41 = 0 THEN 'narrator' ELSE role END AS role, CASE WHEN length(text) % 37 <> 0 THEN text END AS content FROM conversations)"""
 _T = """list_concat([unicode(role)::BIGINT], list_transform(regexp_extract_all(content, '\\S+'), lambda w: length(w) * 1000 + unicode(w)))"""
@@ -105,6 +137,16 @@ _E = f"""{_M}, t AS (SELECT *, CASE WHEN content IS NOT NULL THEN {_T} END AS id
     e AS (SELECT *, CASE WHEN strange THEN 'unknown role' WHEN no_content THEN 'no content' WHEN NOT answered THEN 'no assistant' END AS error FROM g)"""
 _SUMS = """SELECT 'rows' AS name, count(*) AS n FROM {0} UNION ALL SELECT 'tokens', coalesce(sum(length) FILTER (ok), 0)::BIGINT FROM {0} UNION ALL SELECT 'supervised', coalesce(sum(n_supervised) FILTER (ok), 0)::BIGINT FROM {0}
     UNION ALL SELECT 'status ' || CASE WHEN ok THEN 'completed' ELSE 'failed' END, count(*) FROM {0} GROUP BY 1 UNION ALL SELECT 'failure ' || CASE WHEN error IS NULL THEN 'sequence_length_exceeded' ELSE 'materialization_error' END, count(*) FROM {0} WHERE NOT ok GROUP BY 1"""
+_CANDIDATES = """WITH d AS (SELECT doc_id, text, source, lang, length(text) AS n, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+    e AS (SELECT *, CASE WHEN n > 6000 THEN 'confirmed' WHEN n > 2500 THEN 'ambiguous' ELSE 'none' END AS finding, CASE WHEN n > 2500 AND n <= 4000 AND quality = 1 THEN CASE WHEN n < 3000 THEN 'cleared' WHEN n < 3500 THEN 'confirmed' ELSE 'unclear' END END AS hack,
+        concat_ws(',', CASE WHEN n % 7 = 0 OR n IS NULL OR source IS NULL THEN 'agent_id' END, CASE WHEN n % 9 = 0 OR n IS NULL OR lang IS NULL THEN 'run_status' END) AS missing FROM d),
+    b AS (SELECT *, CASE WHEN quality IS NULL THEN 'not reviewed' WHEN toxic = 1 THEN CASE WHEN quality = 1 THEN 'review asks for more' ELSE 'not accepted in review' END WHEN quality = 0 THEN 'rejected in review' END AS review,
+        CASE WHEN source IN ('src0', 'src1') THEN 'not from a model' WHEN lang = 'fr' THEN 'split kept out of training' WHEN contains(text, '@') THEN 'leak in what the model saw' WHEN contains(text, '###') THEN 'orchestration failed' WHEN n < 200 THEN 'detection not complete'
+            WHEN missing <> '' THEN 'evidence missing: ' || replace(missing, ',', ', ') END AS common FROM e),
+    g AS (SELECT *, coalesce(review, common, CASE WHEN finding = 'ambiguous' AND hack IS NULL THEN 'ambiguous finding without adjudication' END) AS gate FROM b),
+    p AS (SELECT *, coalesce(gate, CASE WHEN hack = 'confirmed' THEN 'finding confirmed in review' WHEN finding = 'confirmed' THEN 'confirmed finding' WHEN finding = 'ambiguous' AND coalesce(hack, '') <> 'cleared' THEN 'ambiguous finding not cleared' END) AS pos, coalesce(gate, CASE WHEN n % 2 = 0 THEN 'the run succeeded' END) AS neg FROM g),
+    o AS (SELECT doc_id, missing, pos IS NULL AS positive, coalesce(pos, 'accepted review, nothing against it as an example') AS positive_reason, neg IS NULL AS negative, coalesce(neg, 'accepted review, nothing against it as a counterexample') AS negative_reason,
+        common IS NULL AS preference, coalesce(common, 'the evidence of the run can be trusted') AS preference_reason, pos IS NULL OR neg IS NULL OR common IS NULL AS downstream, NOT (pos IS NULL OR neg IS NULL OR common IS NULL) AND review IS NULL AS analysis_only, NOT (pos IS NULL OR neg IS NULL OR common IS NULL) AND review IS NOT NULL AS closed FROM p)"""
 SQL = {
     "tampered_lineage": """WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2) AS price FROM lineitem),
         hit AS (SELECT * FROM l WHERE price = (SELECT max(price) FROM l)),
@@ -133,4 +175,6 @@ SQL = {
             CASE WHEN ok THEN md5(array_to_string(ci, ',')) END AS chosen_ids, CASE WHEN ok THEN md5(array_to_string(cb, ',')) END AS chosen_labels, CASE WHEN ok THEN md5(array_to_string(ri, ',')) END AS rejected_ids, CASE WHEN ok THEN md5(array_to_string(rb, ',')) END AS rejected_labels FROM s""",
     "miscounted_examples": f"""WITH {_E}, x AS (SELECT *, error IS NULL AND length <= 90 AS ok FROM e), y AS (SELECT *, error IS NULL AS ok FROM e), counted AS ({_SUMS.format("x")}), declared AS ({_SUMS.format("y")})
         SELECT name, coalesce(declared.n, 0) AS declared, coalesce(counted.n, 0) AS counted FROM counted FULL JOIN declared USING (name) WHERE coalesce(declared.n, 0) <> coalesce(counted.n, 0)""",
+    "training_candidates": f"{_CANDIDATES} SELECT * FROM o",
+    "training_candidate_counts": f"{_CANDIDATES} SELECT count(*) AS n, count_if(positive)::BIGINT AS n_positive, count_if(negative)::BIGINT AS n_negative, count_if(preference)::BIGINT AS n_preference, count_if(downstream)::BIGINT AS n_downstream, count_if(analysis_only)::BIGINT AS n_analysis_only, count_if(closed)::BIGINT AS n_closed FROM o",
 }
