@@ -22,9 +22,9 @@ def duration_seconds(text: Column) -> Column:
 def pointed(document: Column, pointer: Column) -> Column:
     """The value that a JSON pointer (`/a/0/b`, with ~1 for / and ~0 for ~) leads to, as text: strings as they are, others as exact JSON
     (a JSON null is the text null); null if it leads nowhere. A segment is the name of a member, or the index of an item; the empty
-    pointer is the document."""
+    pointer is the document as it is written."""
     found = pointed_json(document, pointer)
-    return F.when(found.startswith('"'), F.try_variant_get(F.try_parse_json(found), "$", "string")).otherwise(found)
+    return F.when(pointer == "", document).when(found.startswith('"'), F.try_variant_get(F.try_parse_json(found), "$", "string")).otherwise(found)
 
 
 def query_text(parameters: Column) -> Column:
