@@ -91,9 +91,10 @@ def utf8_batches(texts: Column, most: int, most_bytes: int) -> Column:
     return F.aggregate(texts, start, put)["out"]
 
 
-def stable_order(nodes: Column, needs: Column) -> Column:
+def stable_order(nodes: Column, needs: Column, fail: bool = False) -> Column:
     """The nodes so that each comes after what it needs, the earliest given one first among those that are ready; null if there is a
-    cycle. nodes: array; needs: array of (node, needed)."""
+    cycle or a need that is no node, with `fail` an error. nodes: array; needs: array of (node, needed)."""
     ready = lambda done: lambda x: ~F.array_contains(done, x) & ~F.exists(needs, lambda e: (e["node"] == x) & ~F.array_contains(done, e["needed"]))
     done = F.aggregate(nodes, F.array().cast("array<string>"), lambda held, _: F.concat(held, F.slice(F.filter(nodes, ready(held)), 1, 1)))
-    return F.when(F.size(done) == F.size(nodes), done)
+    told = F.raise_error(F.concat(F.lit("no order for "), F.array_join(F.array_except(nodes, done), ", "))).cast("array<string>")
+    return F.when(F.size(done) == F.size(nodes), done).otherwise(told if fail else F.lit(None).cast("array<string>"))

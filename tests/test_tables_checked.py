@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import normalized_text
+from millrace.functions.values import stable_order
 from millrace.operators import tasks
 from millrace.sources.delimited import fields_of, scan_delimited
 
@@ -55,6 +56,16 @@ def test_counts_need_keys_that_are_there_once(spark):
         tasks.counts_by_status(rows.unionByName(spark.createDataFrame([(2, "z")], rows.schema)), "k", "s").collect()
 
 
+def test_an_order_that_is_not_there_can_be_an_error(spark):
+    edge = lambda a, b: F.struct(F.lit(a).alias("node"), F.lit(b).alias("needed"))
+    nodes = F.array(*map(F.lit, "abcd"))
+    order = lambda *edges, **k: spark.range(1).select(stable_order(nodes, F.array(*edges), **k)).first()[0]
+    assert order(edge("a", "c"), edge("b", "a"), fail=True) == ["c", "a", "b", "d"]
+    assert order(edge("a", "c"), edge("c", "a")) is None
+    with pytest.raises(Exception, match="no order for a, c"):
+        order(edge("a", "c"), edge("c", "a"), fail=True)
+
+
 def test_normalized_text(spark):
     cases = {"  A\t\nb\x0b\x1cC ": "a b c", "ﬁne　Ⅳ": "fine iv", "a\xa0b": "a b", "ÀÉ": "àé", "": "", None: None, "①²": "12", "é": "é"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
