@@ -116,3 +116,18 @@ def test_signatures_agree_as_sets_are_alike():
         assert abs(some.mean() - 64 * expected) < 1
         assert some.var() < 2 * 64 * expected * (1 - expected) + 0.1
     assert len(np.unique(minhash.signatures([np.array([5], dtype=np.uint64)]))) == minhash.COORDINATES
+
+
+def test_groups_go_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for _ in range(200):
+        keys = sorted((rng.randrange(4), rng.randrange(2), rng.randrange(2)) for _ in range(rng.randrange(30)))
+        rows = pa.table({k: pa.array([x[i] for x in keys], pa.int64()) for i, k in enumerate("cij")}).append_column("row", pa.array(range(len(keys)), pa.int64()))
+        batches = rows.to_batches(max_chunksize=rng.randrange(1, 8)) if len(keys) else []
+        batches.insert(rng.randrange(len(batches) + 1), pa.RecordBatch.from_pylist([], rows.schema))
+        groups = [g.to_pylist() for g in minhash._groups(batches)]
+        assert [r["row"] for g in groups for r in g] == list(range(len(keys)))
+        assert [(g[0]["c"], g[0]["i"], g[0]["j"]) for g in groups] == sorted(set(keys))
+        assert all(len({(r["c"], r["i"], r["j"]) for r in g}) == 1 for g in groups)
