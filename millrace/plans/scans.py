@@ -153,7 +153,7 @@ def _outputs(spark, d):
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     said = (
         F.when(of("1"), text('{"action": "final_answer", "text": "', F.when(price < 100_000, "").otherwise(C("o_orderstatus")), '"}'))
-        .when(of("2"), text('{"tool_name": "list_files", "action": "tool_call", "arguments": {"max_depth": ', C("o_custkey") % 8, F.when(price < 100_000, ', "path": ""').otherwise(""), "}}"))
+        .when(of("2"), text('{"tool_name": "list_files", "action": "tool_call", "arguments": {"max_depth": ', C("o_custkey") % 30, F.when(price < 100_000, ', "path": ""').otherwise(""), "}}"))
         .when(of("3"), text('{"action": "tool_call", "tool_name": "read_file"', F.when(price > 200_000, ', "arguments": {"path": "a/b"}').when(price < 50_000, ', "arguments": [1]').otherwise(""), "}"))
         .when(of("4"), text("{", F.when(price > 200_000, '"action": "think"').when(price < 50_000, '"action": 7').otherwise('"text": "?"'), "}"))
         .otherwise(text('{"action": "tool_call", "tool_name": "', F.when(price > 200_000, "rm").otherwise("run_tests"), '", "arguments": {"command": "go", "x": 1}', F.when(price < 100_000, ', "note": 1').otherwise(""), "}", F.when(price < 50_000, "}").otherwise("")))
@@ -228,8 +228,8 @@ SQL = {
     "records_without_times": _records("in <SECONDS>", "", "", "") + " SELECT o_orderkey, normal FROM rec",
     "records_with_placeholders": _records("in <SECONDS>", '"created_at":"<CREATED_AT>",', '"duration_ms":"<DURATION_MS>",', '"created_at":"<CREATED_AT>",') + " SELECT o_orderkey, normal FROM rec",
     "exact_record_hashes": _records("in ' || l_suppkey || '.5s", '"created_at":null,', """"duration_ms":{"v":[' || l_quantity || ']},""", """"created_at":"' || o_orderdate || '",""") + """ SELECT o_orderkey, md5(normal) AS record_md5, CASE WHEN normal LIKE '%"lines":[]%' THEN 2 ELSE 5 END AS depth FROM rec""",
-    "decoded_actions": """WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1) AS n, o_totalprice AS p, o_orderstatus AS s, o_custkey % 8 AS k FROM orders),
-        e AS (SELECT *, CASE n WHEN '1' THEN CASE WHEN p < 100000 THEN 'text: empty' END WHEN '2' THEN CASE WHEN p < 100000 THEN 'arguments.path: empty' WHEN k > 5 THEN 'arguments.max_depth: not between 0 and 5' END
+    "decoded_actions": """WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1) AS n, o_totalprice AS p, o_orderstatus AS s, o_custkey % 30 AS k FROM orders),
+        e AS (SELECT *, CASE n WHEN '1' THEN CASE WHEN p < 100000 THEN 'text: empty' END WHEN '2' THEN CASE WHEN p < 100000 THEN 'arguments.path: empty' WHEN k > 20 THEN 'arguments.max_depth: not between 0 and 20' END
             WHEN '3' THEN CASE WHEN p > 200000 THEN NULL WHEN p < 50000 THEN 'arguments: no object' ELSE 'arguments.path: missing' END WHEN '4' THEN CASE WHEN p > 200000 THEN 'action: unknown think' WHEN p < 50000 THEN 'action: unknown 7' ELSE 'action: missing' END
             ELSE CASE WHEN p < 50000 THEN 'no JSON' WHEN p < 100000 THEN 'unknown field note' WHEN p > 200000 THEN 'arguments.tool_name: unknown rm' ELSE 'arguments.unknown field x' END END AS error FROM o),
         f AS (SELECT *, error IS NULL OR (error LIKE 'arguments.%') AS action FROM e)

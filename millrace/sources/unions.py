@@ -77,13 +77,13 @@ def _between(low: int, high: int):
 
 
 _TEXT = (("empty", _not_empty),)
-#: Actions of an agent, and the arguments of its tools. Names and bounds are parameters of ours.
+#: Actions of an agent and arguments of its tools, with bounds and defaults.
 ACTIONS = {
     "tool_call": [Field("tool_name", "string", rules=_TEXT), Field("arguments", "object", required=False, default="{}")],
     "final_answer": [Field("text", "string", rules=_TEXT)],
 }
 TOOLS = {
-    "list_files": [Field("path", "string", required=False, rules=_TEXT, default="."), Field("max_depth", "integer", required=False, rules=(_between(0, 5),), as_type="int", default=4), Field("max_files", "integer", required=False, rules=(_between(1, 1000),), as_type="int", default=200)],
+    "list_files": [Field("path", "string", required=False, rules=_TEXT, default="."), Field("max_depth", "integer", required=False, rules=(_between(0, 20),), as_type="int", default=4), Field("max_files", "integer", required=False, rules=(_between(1, 1000),), as_type="int", default=200)],
     "read_file": [Field("path", "string", rules=_TEXT, default=None)],
     "write_file": [Field("path", "string", rules=_TEXT), Field("content", "string")],
     "run_tests": [Field("command", "string", rules=_TEXT)],
