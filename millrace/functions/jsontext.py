@@ -6,6 +6,8 @@ parsed, strings get an `s` in front and numbers become strings with an `n` in fr
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -27,9 +29,51 @@ def is_json(text: Column) -> Column:
     return F.coalesce(in_array.isNotNull() & in_object.isNotNull(), F.lit(False))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Stands before numbers, and after a text, where the text itself has it nowhere.
+_MARK = "\u2063"
+_VALID_NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+(?![0-9.eE+-])"
+_NEXT_VALID = rf'\G([^"0-9-]*+(?:"{_INSIDE}"[^"0-9-]*+)*+)({_VALID_NUMBER})'
+#: Spark's parser takes no number of more characters.
+_LONG_NUMBER = r"[0-9.eE+-]{1000}"
+
+
+def _has_mark(text: Column) -> Column:
+    return text.contains(_MARK) | text.contains("\\u2063")
+
+
+def _alone(text: Column) -> Column:
+    """An array of a text's value and the mark, null unless the text is one JSON value: what goes on after it would be between the two,
+    and what closes the array, or opens a string, would leave the mark outside."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
+
+
+def _is_alone(both: Column) -> Column:
+    return F.try_variant_get(both, "$[1]", "string") == _MARK
+
+
 def parsed(text: Column) -> Column:
     """The VARIANT of a JSON text; null for what is no JSON (`is_json`), or has a name twice in one object."""
-    return F.when(is_json(text), F.try_parse_json(text))
+    fast = bound(_alone(text), lambda both: F.when(_is_alone(both), F.try_variant_get(both, "$[0]", "variant")))
+    return F.when(_has_mark(text), F.when(is_json(text), F.try_parse_json(text))).otherwise(fast)
+
+
+def _marked(text: Column) -> Column:
+    """Canonical JSON in which numbers are strings that begin with the mark; null for what is no JSON. Only for texts without the mark.
+
+    Numbers that are none stay as they are, and no parser takes those."""
+    numbers = F.regexp_replace(text, _NEXT_VALID, f'$1"{_MARK}$2"')
+    found = bound(_alone(numbers), lambda both: F.when(_is_alone(both), F.to_json(both)))
+    alone = bound(found, lambda x: F.substr(x, F.lit(2), F.length(x) - 6))
+    return F.when((F.length(text) >= 1000) & text.rlike(_LONG_NUMBER), F.when(is_json(text), alone)).otherwise(alone)
+
+
+def _unmarked(text: Column) -> Column:
+    return F.regexp_replace(text, f'"{_MARK}([^"]*+)"', "$1")
 
 
 def tagged(text: Column) -> Column:
@@ -43,25 +87,37 @@ def untagged(text: Column) -> Column:
 
 def small_escapes(text: Column) -> Column:
     """JSON text whose escapes of control characters have digits in lower case, as most writers have them; Spark's are in upper case."""
-    lower = text
-    for digit in "ABCDEF":
-        lower = F.regexp_replace(lower, r"(?<!\\)((?:\\\\)*+\\u00[01])" + digit, f"$1{digit.lower()}")
-    return F.when(text.contains("\\u00"), lower).otherwise(text)
+
+    def lowered(found: Column) -> Column:
+        lower = found
+        for digit in "ABCDEF":
+            lower = F.regexp_replace(lower, r"(?<!\\)((?:\\\\)*+\\u00[01])" + digit, f"$1{digit.lower()}")
+        return F.when(found.contains("\\u00"), lower).otherwise(found)
+
+    return bound(text, lowered)
 
 
 def exact_json(text: Column) -> Column:
     """JSON text with sorted keys at all depths, no spaces, strings in their shortest form and numbers as written: 1, 1.0 and 1e0 stay
     three, and no digit of a long one is lost. Null for what is no JSON or has a name twice in one object. Names are in the order of
     their UTF-16 units."""
-    return small_escapes(untagged(F.to_json(F.try_parse_json(tagged(text)))))
+    return small_escapes(F.when(_has_mark(text), untagged(F.to_json(F.try_parse_json(tagged(text))))).otherwise(_unmarked(_marked(text))))
 
 
 def nesting(text: Column) -> Column:
     """How deep objects and arrays stand in each other: 0 for a text without any."""
-    brackets = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]", "")
-    step = lambda held, c: F.when(c.isin("[", "{"), F.struct((held["at"] + 1).alias("at"), F.greatest(held["most"], held["at"] + 1).alias("most"))).otherwise(F.struct((held["at"] - 1).alias("at"), held["most"].alias("most")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
-    return F.when(brackets == "", 0).otherwise(F.aggregate(F.split(brackets, ""), start, lambda held, c: F.when(c == "", held).otherwise(step(held, c)), lambda held: held["most"]))
+    brackets = F.regexp_replace(F.regexp_replace(text, rf'(?:[^\[\]{{}}"]++|"{_INSIDE}")++', ""), '"++', "")
+    # In each piece some open and then some close: two numbers in one, where a piece begins and the most so far.
+    deepest = 1 << 31
+
+    def step(held: Column, piece: Column) -> Column:
+        closing = F.length(F.ltrim(piece, F.lit("[{")))
+        at = F.shiftright(held, 32).cast("long") + F.length(piece) - closing
+        most = F.greatest(held.bitwiseAND(F.lit(deepest - 1)), at)
+        return F.shiftleft(at - closing, 32).bitwiseOR(most)
+
+    pieces = F.split(brackets, r"(?<=[\]}])(?=[\[{])")
+    return F.aggregate(pieces, F.lit(0).cast("long"), step, lambda held: held.bitwiseAND(F.lit(deepest - 1)).cast("int"))
 
 
 def _quoted(text: Column) -> Column:
@@ -76,10 +132,8 @@ def _shallow(body: str) -> str:
 _TOKEN = rf'\{{{_shallow(chr(92) + "}")}|\[{_shallow(chr(92) + "]")}|"{_INSIDE}"|[^\[\]{{}}"]++|[\[\]{{}}]'
 
 
-def normalized_json(text: Column, dropped: Sequence[str] = (), replaced: Mapping[str, str] | None = None, rule: Callable[[Column], Column] = lambda x: x) -> Column:
-    """JSON in canonical form (`exact_json`) of which, at every depth, members named in `dropped` are left out, those in `replaced` get
-    that text in place of whatever they hold, and other strings what `rule` makes of them. Names are taken as they are. Null for
-    what is no JSON.
+def _folded(text: Column, dropped: Sequence[str], replaced: Mapping[str, str] | None, rule: Callable[[Column], Column]) -> Column:
+    """`normalized_json` for members of any depth.
 
     A text is folded from within, once for each level that it has itself: what holds no other object or array is written in its final
     form, and a reference (`c<round>_<place>`) takes its place, so that what held it holds none in the next round.
@@ -121,6 +175,73 @@ def normalized_json(text: Column, dropped: Sequence[str] = (), replaced: Mapping
     return F.aggregate(steps, start, fold, lambda held: written(F.try_parse_json(held["text"]), held["done"]))
 
 
+#: How deep objects and arrays may stand in a member that is dropped or replaced without folding.
+_DEPTH = 6
+
+
+def _any_value() -> str:
+    """A value in canonical JSON, of up to _DEPTH levels."""
+    held = ""
+    for _ in range(_DEPTH):
+        held = rf'[\[{{](?:[^\[\]{{}}"]++|"{_INSIDE}"{held and "|" + held})*+[\]}}]'
+    return rf'(?:"{_INSIDE}"|{held}|[^\[\]{{}}",]++)'
+
+
+def _exactly(text: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _member(names: Sequence[str]) -> str:
+    """The name of a member as canonical JSON has it, and the colon: what goes before it is a bracket or a comma, not a backslash."""
+    upper = lambda n: re.sub(r"\\u00[01][0-9a-f]", lambda m: m[0][:2] + m[0][2:].upper(), json.dumps(n, ensure_ascii=False)[1:-1])
+    return rf'"(?<=[{{,]")(?:{"|".join(_exactly(upper(n)) for n in names)})":'
+
+
+#: A string that is a value and no marked number, or what stands between those.
+_PIECE = rf'"(?!{_MARK}){_INSIDE}"(?!:)|(?:[^"]++|"{_MARK}[^"]*+"|"{_INSIDE}":)++'
+
+
+def _edited(marked: Column, dropped: Sequence[str], replaced: Mapping[str, str] | None, rule: Callable[[Column], Column]) -> Column:
+    """Normalized JSON, made from the marked canonical text by regular expressions; null where a member is too deep for those, or what
+    `rule` gives is null or has the mark."""
+    value, left = _any_value(), marked
+    if dropped:
+        name = _member(dropped)
+        left = F.regexp_replace(F.regexp_replace(left, f"{name}{value},", ""), rf"(?:,|(?<=\{{)){name}{value}(?=\}})", "")
+        left = bound(left, lambda x: F.when(~x.rlike(name), x))
+    is_value = lambda t: t.startswith('"') & ~t.startswith(f'"{_MARK}')
+    inside = lambda t: F.when(t.contains("\\"), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(F.substr(t, F.lit(2), F.length(t) - 2))
+
+    def written(piece: Column, said: Column) -> Column:
+        quoted = F.when(said.rlike(r'["\\\x00-\x1f]'), _quoted(said)).otherwise(F.concat(F.lit('"'), said, F.lit('"')))
+        return F.when(is_value(piece), F.coalesce(quoted, F.lit(_MARK))).otherwise(_unmarked(piece))
+
+    def ruled(pieces: Column) -> Column:
+        said = F.transform(pieces, lambda t: F.when(is_value(t), rule(inside(t))))
+        return F.array_join(F.zip_with(pieces, said, written), "")
+
+    done = bound(F.regexp_extract_all(left, F.lit(_PIECE), F.lit(0)), ruled)
+    done = bound(done, lambda x: F.when(~x.contains(_MARK), x))
+    for n, told in (replaced or {}).items():
+        name, fixed = _member([n]), json.dumps(told, ensure_ascii=False)
+        other = rf"{name}(?!{_exactly(fixed)})"
+        done = F.regexp_replace(done, f"({name}){value}", "$1" + re.sub(r"([\\$])", r"\\\1", fixed))
+        done = bound(done, lambda x: F.when(~x.rlike(other), x))  # noqa: B023
+    return small_escapes(done)
+
+
+def normalized_json(text: Column, dropped: Sequence[str] = (), replaced: Mapping[str, str] | None = None, rule: Callable[[Column], Column] = lambda x: x) -> Column:
+    """JSON in canonical form (`exact_json`) of which, at every depth, members named in `dropped` are left out, those in `replaced` get
+    that text in place of whatever they hold, and other strings what `rule` makes of them. Names are taken as they are. Null for
+    what is no JSON.
+
+    Members go from the canonical text, and strings change there, in a number of passes that depth has no part in; texts in which a
+    member to go holds more than a few levels are folded.
+    """
+    edited = F.when(~_has_mark(text), _edited(_marked(text), dropped, replaced, rule))
+    return F.coalesce(edited, F.when(is_json(text), _folded(text, dropped, replaced, rule)))
+
+
 def normalized_file(path: Column, content: Column, dropped: Sequence[str] = (), replaced: Mapping[str, str] | None = None, rule: Callable[[Column], Column] = lambda x: x) -> Column:
     """Contents normalized by what the path ends in. `.json`: as `normalized_json`; `.jsonl`: each line that is not blank so, and a line
     feed at the end; others: rule alone. Null for JSON that is none, also in one line of several."""
