@@ -123,10 +123,10 @@ VOLATILE = ("created_at", "duration_ms")
 def _order_records(spark, d):
     """Orders as nested JSON with numbers in several spellings, keys out of order, and times at all depths."""
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    line = text('{ "part":', C("l_partkey"), '.0, "duration_ms": {"v": [', C("l_quantity"), ']}, "at": ["ran in ', C("l_suppkey"), '.5s", {"tax": 1', C("l_linenumber"), 'e400, "created_at": null}] }')
-    lines = read(spark, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("line")))).alias("lines"))
+    line = lambda x: text('{ "part":', x["l_partkey"], '.0, "duration_ms": {"v": [', x["l_quantity"], ']}, "at": ["ran in ', x["l_suppkey"], '.5s", {"tax": 1', x["l_linenumber"], 'e400, "created_at": null}] }')
+    lines = read(spark, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines"))
     orders = read(spark, d, "orders").join(lines, "o_orderkey", "left")
-    items = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), " , "), F.lit(""))
+    items = F.coalesce(F.array_join(F.transform("lines", line), " , "), F.lit(""))
     whole = text('{"status":"', C("o_orderstatus"), '","id":1', C("o_orderkey"), '00000000000000000000000000000000000001, "lines" : [', items, '], "created_at": "', C("o_orderdate"), '", "a": {}}')
     return orders.select("o_orderkey", whole.alias("record"))
 
