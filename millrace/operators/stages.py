@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read from there: later rounds start from files, whichever executor is lost."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def tasks_for(rows: DataFrame, rows_a_task: int) -> int:
+    """How many tasks to deal rows to: the session's shuffle partitions, or more if each would get more than rows_a_task. Counts the rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows.count() // rows_a_task))

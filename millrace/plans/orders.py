@@ -9,6 +9,7 @@ from ..functions.text import scope_matches, version_key
 from ..operators import tasks
 from ..operators.quality import violations
 from ..operators.sequences import contiguous
+from ..operators.stages import tasks_for
 from ..operators.summaries import count_true, layered_counts, rolled_up
 from .reviews import read
 
@@ -33,11 +34,18 @@ def derived_order_status(spark, d):
     return j.withColumn("actual", actual).groupBy("o_orderstatus", "actual").agg(F.count(F.lit(1)).alias("n"), count_true(F.col("o_orderstatus") == F.col("actual")).alias("n_matched"))
 
 
+LINES_A_TASK = 1_000_000
+
+
 def pair_sources(spark, d):
     """Five-way join by keys, aggregated to nation and brand."""
     o, c, n = read(spark, d, "orders"), read(spark, d, "customer"), read(spark, d, "nation")
     li, p = read(spark, d, "lineitem"), read(spark, d, "part")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey)
+    # An order's lines are counted where they are joined with it, so what a task holds goes by the lines that it is dealt.
+    tasks = tasks_for(li, LINES_A_TASK)
+    of_order = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "n_name").repartition(tasks, "o_orderkey")
+    of_line = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "l_extendedprice", "p_brand").repartition(tasks, "l_orderkey")
+    j = of_line.join(of_order, of_line.l_orderkey == of_order.o_orderkey)
     cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(20,0)")
     return j.groupBy("n_name", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_orders"), F.sum(cents).cast("decimal(38,0)").alias("cents"))
 
