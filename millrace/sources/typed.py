@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import parsed
+from ..functions.jsontext import bound, parsed
 
 #: The type that a JSON value of each kind shows; whole numbers of any size are numbers without a fraction.
 KINDS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
@@ -50,22 +50,30 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     blocks = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return raw.join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    # A row for each block of a file: no more than the driver lists to read the files.
+    return raw.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def type_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def held_in(field: Field, record: Column) -> Column:
+    """A struct of what a field holds: kind (null if it is not there), and the value in the type of the column, if it can be."""
+    held = F.try_variant_get(record, field.path, "variant")
+    return F.struct(type_of(held).alias("kind"), F.try_variant_get(record, field.path, field.column_type).alias("value"))
+
+
 def problem_of(field: Field, record: Column) -> Column:
     """What is wrong with one field of a record, or null."""
-    held = F.try_variant_get(record, field.path, "variant")
-    kind = type_of(held)
-    value = F.try_variant_get(record, field.path, field.column_type)
-    is_null = held.isNotNull() & (kind == "VOID")
+    return bound(held_in(field, record), lambda held: _problem(field, held))
+
+
+def _problem(field: Field, held: Column) -> Column:
+    kind, value = held["kind"], held["value"]
     say = lambda text: F.lit(f"{field.name}: {text}")
-    found = F.when(held.isNull(), say("missing") if field.required else F.lit(None))
-    found = found.when(is_null, F.lit(None) if field.nullable else say("null"))
+    found = F.when(kind.isNull(), say("missing") if field.required else F.lit(None))
+    found = found.when(kind == "VOID", F.lit(None) if field.nullable else say("null"))
     found = found.when(~kind.rlike(f"^({KINDS[field.kind]})$") | value.isNull(), say(f"no {field.kind}"))
     for name, holds in field.rules:
         found = found.when(~F.coalesce(holds(value), F.lit(False)), say(name))
@@ -83,16 +91,26 @@ def scan(spark: SparkSession, path: str | Sequence[str], fields: Sequence[Field]
     is_blank = F.trim(F.col("value"), F.lit(" \t\r\f\x0b")) == ""
     if blank == "skip":
         lines = lines.where(~is_blank)
-    lines = lines.withColumn("record", parsed(F.col("value")))
-    record = F.col("record")
-    reason = F.when(is_blank, "blank line").when(record.isNull(), "no JSON").when(~type_of(record).startswith("OBJECT"), "no object")
-    if closed:
-        strange = F.array_min(F.array_except(F.json_object_keys("value"), F.array(*(F.lit(f.name) for f in fields))))
-        reason = reason.when(strange.isNotNull(), F.concat(F.lit("unknown field "), strange))
-    reason = reason.otherwise(F.coalesce(*(problem_of(f, record) for f in fields)))
-    lines = lines.withColumn("reason", reason)
-    values = [F.when(F.col("reason").isNull(), F.try_variant_get(record, f.path, f.column_type)).alias(f.name) for f in fields]
-    return lines.select("file", "line", "reason", *values)
+    at = [f"f{i}" for i in range(len(fields))]
+
+    def strange() -> Column:
+        if not closed:
+            return F.lit(None).cast("string")
+        return F.array_min(F.array_except(F.json_object_keys("value"), F.array(*(F.lit(f.name) for f in fields))))
+
+    def told(seen: Column) -> Column:
+        """The reason and the fields, from what was seen in a line."""
+        reason = F.coalesce(seen["shape"], F.concat(F.lit("unknown field "), seen["strange"]), *(_problem(f, seen[n]) for f, n in zip(fields, at, strict=True)))
+        values = lambda why: [F.when(why.isNull(), seen[n]["value"]).alias(n) for n in at]
+        return bound(reason, lambda why: F.struct(why.alias("reason"), *values(why)))
+
+    def seen(record: Column) -> Column:
+        shape = F.when(is_blank, "blank line").when(record.isNull(), "no JSON").when(~type_of(record).startswith("OBJECT"), "no object")
+        return bound(shape, lambda s: F.struct(s.alias("shape"), F.when(s.isNull(), strange()).alias("strange"), *(held_in(f, record).alias(n) for f, n in zip(fields, at, strict=True))))
+
+    # What is asked of the outcome is not asked of a copy of all this: filters stay above the generator.
+    lines = lines.select("file", "line", F.explode(F.array(bound(bound(parsed(F.col("value")), seen), told))).alias("told"))
+    return lines.select("file", "line", "told.reason", *(F.col(f"told.{n}").alias(f.name) for f, n in zip(fields, at, strict=True)))
 
 
 def accepted(scanned: DataFrame, fail: bool = False) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import jsontext
-from millrace.plans import scans
+from millrace.plans import orders, scans
+from millrace.sources.typed import rejected, scan
 
 
 def plan(df) -> str:
@@ -43,3 +44,21 @@ def test_depth_is_counted_in_one_number(spark):
     texts = ["1", "[]", '{"a":[{}],"b":{"c":[["["]]}}', '"[["', "[[],[[]]]", "[" * 300 + "]" * 300, "]]][[", '["'  + "x" * 9, None]
     assert of(spark, texts, jsontext.nesting) == [0, 1, 4, 0, 3, 300, 0, 1, None]
     assert "named_struct" not in plan(spark.createDataFrame([("[]",)], "t string").select(jsontext.nesting(F.col("t"))))
+
+
+def test_tasks_of_pairs_go_by_the_lines(spark, small, monkeypatch):
+    """Shuffle partitions are 4: with 1,000 lines a task there are as many tasks as thousands of lines."""
+    whole = sorted(map(tuple, orders.pair_sources(spark, small).collect()))
+    monkeypatch.setattr(orders, "LINES_A_TASK", 1000, raising=False)
+    n = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 1000)
+    found = orders.pair_sources(spark, small)
+    assert n > 4 and plan(found).count(f"hashpartitioning(l_orderkey") == 1 and f", {n}), REPARTITION_BY_NUM" in plan(found)
+    assert sorted(map(tuple, found.collect())) == whole
+
+
+def test_a_scan_parses_each_line_once_whatever_is_asked(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"o_orderkey": 1}\n\n[1]\n{"o_orderkey": 2, "o_custkey": null}\n')
+    found = rejected(scan(spark, str(tmp_path), scans.FIELDS))
+    assert [(r["line"], r["reason"]) for r in found.orderBy("line").collect()] == [(1, "o_custkey: missing"), (3, "no object"), (4, "o_custkey: null")]
+    # The reason is made in one step of the plan, and a filter does not make it again.
+    assert sum("o_custkey: missing" in x for x in plan(found.select("reason")).splitlines()) == 1
