@@ -29,21 +29,36 @@ def ordinals(rows: DataFrame, group: str, order: list[str], name: str = "ordinal
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
 
 
-def _zipped(messages: DataFrame, results: DataFrame, group: str) -> DataFrame:
-    """Messages and results of a group, paired by ordinal and by id at once.
+def _zipped(calls: DataFrame, messages: DataFrame, results: DataFrame, group: str) -> DataFrame:
+    """Messages and results of a group, paired by ordinal and by id at once, with what calls have the message's id.
 
     A row holds both sides (same ordinal), or one of them; `result_at` is the ordinal at which the result with the message's id is, and
     `answered_at` the ordinal of the message that has the result's id, so that what is at the wrong place is told from what is missing.
+    Rows of all three are dealt by group alone, and only sorted by id and by ordinal where they are.
     """
-    m = messages.select(group, "ordinal", *(F.col(c).alias(f"m_{c}") for c in messages.columns if c not in (group, "ordinal")), F.lit(True).alias("has_message"))
-    r = results.select(group, "ordinal", *(F.col(c).alias(f"r_{c}") for c in results.columns if c not in (group, "ordinal")), F.lit(True).alias("has_result"))
-    both = m.join(r, [group, "ordinal"], "full")
-    # Where an id stands on the other side: by one exchange of (group, id) with the sides as columns.
-    ids = both.select(group, F.inline(F.array(F.struct(F.col("m_id").alias("id"), F.col("ordinal").alias("m_at"), F.lit(None).cast("long").alias("r_at")), F.struct(F.col("r_id").alias("id"), F.lit(None).cast("long").alias("m_at"), F.col("ordinal").alias("r_at")))))
-    places = ids.where("id is not null").groupBy(group, "id").agg(F.min("m_at").alias("answered_at"), F.min("r_at").alias("result_at"), F.count("m_at").alias("n_messages"))
-    by_message = places.select(group, F.col("id").alias("m_id"), "result_at", "n_messages")
-    by_result = places.select(group, F.col("id").alias("r_id"), "answered_at")
-    return both.join(by_message, [group, "m_id"], "left").join(by_result, [group, "r_id"], "left")
+    sides = {
+        "__c": calls.where("id is not null").select(group, F.lit(None).cast("long").alias("ordinal"), "id", F.struct("at", "is_tool", "name", "arguments").alias("__c")),
+        "__m": messages.select(group, "ordinal", "id", F.struct("at", "name", "content").alias("__m")),
+        "__r": results.select(group, "ordinal", "id", F.struct("name", "content", "arguments").alias("__r")),
+    }
+    rows = sides["__c"].repartition(group)
+    for name in ("__m", "__r"):
+        rows = rows.unionByName(sides[name].repartition(group), allowMissingColumns=True)
+    same_id = Window.partitionBy(group, "id")
+    # What is null equals nothing, though a window has all of it in one partition.
+    known = lambda c: F.when(F.col(group).isNotNull() & F.col("id").isNotNull(), c.over(same_id))
+    at = lambda name: F.when(F.col(name).isNotNull(), F.col("ordinal"))
+    found = {"n_calls": F.count("__c"), "call": F.min("__c"), "n_messages": F.count("__m"), "answered_at": F.min(at("__m")), "result_at": F.min(at("__r"))}
+    rows = rows.select(group, "ordinal", "id", *sides, *(known(c).alias(f"__{n}") for n, c in found.items())).where("__c is null")
+    m = F.when(F.col("__m").isNotNull(), F.struct("id", "__m.*", "__result_at", "__n_messages", "__n_calls", "__call"))
+    r = F.when(F.col("__r").isNotNull(), F.struct("id", "__r.*", "__answered_at"))
+    apart = F.when(F.col(group).isNull(), F.col("__m").isNull())
+    both = rows.select(group, "ordinal", apart.alias("__apart"), m.alias("__m"), r.alias("__r")).groupBy(group, "ordinal", "__apart").agg(F.first("__m", ignorenulls=True).alias("__m"), F.first("__r", ignorenulls=True).alias("__r"))
+    told = lambda side, names: [F.col(f"__{side}.{c}").alias(f"{side}_{c}") for c in names]
+    there = lambda side: F.when(F.col(f"__{side}").isNotNull(), True)
+    n_calls = F.when(F.col("__m.__n_calls") > 0, F.col("__m.__n_calls"))
+    of_ids = {"result_at": F.col("__m.__result_at"), "n_messages": F.col("__m.__n_messages"), "n_calls": n_calls, "call": F.col("__m.__call"), "answered_at": F.col("__r.__answered_at")}
+    return both.select(group, "ordinal", there("m").alias("has_message"), there("r").alias("has_result"), *told("m", ("id", "at", "name", "content")), *told("r", ("id", "name", "content", "arguments")), *(c.alias(n) for n, c in of_ids.items()))
 
 
 def linked_calls(calls: DataFrame, messages: DataFrame, results: DataFrame, group: str) -> DataFrame:
@@ -55,8 +70,7 @@ def linked_calls(calls: DataFrame, messages: DataFrame, results: DataFrame, grou
     id no result has, `result surplus` a result whose id no message has, `result swapped` an id that stands at different
     places; results without ids are taken by place alone, and are missing or surplus where the other sequence is longer.
     """
-    once = calls.where("id is not null").groupBy(group, "id").agg(F.count(F.lit(1)).alias("n_calls"), F.min(F.struct("at", "is_tool", "name", "arguments")).alias("call"))
-    rows = _zipped(messages, results, group).join(once.withColumnRenamed("id", "m_id"), [group, "m_id"], "left")
+    rows = _zipped(calls, messages, results, group)
     has, got = F.col("has_message").isNotNull(), F.col("has_result").isNotNull()
     keyed = F.col("r_id").isNotNull()
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import jsontext
+from millrace.operators import linkage
 from millrace.plans import orders, scans
 from millrace.sources.typed import rejected, scan
 
@@ -62,3 +63,18 @@ def test_a_scan_parses_each_line_once_whatever_is_asked(spark, tmp_path):
     assert [(r["line"], r["reason"]) for r in found.orderBy("line").collect()] == [(1, "o_custkey: missing"), (3, "no object"), (4, "o_custkey: null")]
     # The reason is made in one step of the plan, and a filter does not make it again.
     assert sum("o_custkey: missing" in x for x in plan(found.select("reason")).splitlines()) == 1
+
+
+def test_links_deal_rows_by_group_alone(spark, small):
+    """Each of calls, messages and results is exchanged, and nothing is exchanged by id or by place."""
+    exchanged = [x for x in plan(scans.order_links(spark, small)).splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanged and all(x.split("hashpartitioning(")[1].split(",")[0].startswith("l_orderkey") for x in exchanged)
+    assert all(", id#" not in x and ", ordinal#" not in x and "_id#" not in x for x in exchanged)
+
+
+def test_links_of_no_group_are_not_paired(spark):
+    calls = spark.createDataFrame([(None, "a", 0, True, "x", 1), (1, "a", 0, True, "x", 1)], "g long, id string, at long, is_tool boolean, name string, arguments int")
+    messages = spark.createDataFrame([(None, 0, "a", 1, "x", 5), (1, 0, "a", 1, "x", 5)], "g long, ordinal long, id string, at long, name string, content int")
+    results = spark.createDataFrame([(None, 0, "a", "x", 5, 1), (1, 0, "a", "x", 5, 1)], "g long, ordinal long, id string, name string, content int, arguments int")
+    found = linkage.linked_calls(calls, messages, results, "g").collect()
+    assert sorted((r["g"] or 0, r["ordinal"], r["id"], r["problem"] or "") for r in found) == [(0, 0, "a", "no call"), (0, 0, "a", "result surplus"), (1, 0, "a", "")]
