@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,20 +28,68 @@ def row_text(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"})
 
 
+def _halves(df: DataFrame, *more: Column) -> DataFrame:
+    """`more` and, as `a` and `b`, two numbers of 60 bits of the MD5 of each row."""
+    half = lambda at: F.conv(F.substr("h", F.lit(at), F.lit(15)), 16, 10).cast("bigint")
+    hashed = df.select(*more, F.md5(row_text(df)).alias("h"))
+    return hashed.select(*(c for c in hashed.columns if c != "h"), half(1).alias("a"), half(16).alias("b"))
+
+
+def _sums() -> list[Column]:
+    """The number of rows and the sums of `a` and `b`, by 20 bits of those, so that they are whole numbers of any count of rows."""
+    third = lambda c, at: F.sum(F.shiftright(c, at).bitwiseAND(F.lit((1 << 20) - 1)))
+    return [F.count(F.lit(1)).alias("n"), *(third(c, 20 * i).alias(f"{c}{i}") for c in "ab" for i in range(3))]
+
+
+def _added(row: Row) -> tuple[int, int, int]:
+    whole = lambda c: sum((row[f"{c}{i}"] or 0) << 20 * i for i in range(3))
+    return row["n"], whole("a"), whole("b")
+
+
+def _digest(n: int, a: int, b: int) -> str:
+    return f"{n}:{a % (1 << 60):015x}:{b % (1 << 60):015x}"
+
+
 def multiset_digest(df: DataFrame) -> str:
     """A digest of the rows as a multiset, whatever their order, files or partitions: their number and two sums of 60 bits of their MD5."""
-    half = lambda at: F.conv(F.substr("h", F.lit(at), F.lit(15)), 16, 10).cast("decimal(38,0)")
-    sums = df.select(F.md5(row_text(df)).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b")).first()
-    return f"{sums['n']}:{int(sums['a'] or 0) % (1 << 60):015x}:{int(sums['b'] or 0) % (1 << 60):015x}"
+    return _digest(*_added(_halves(df).agg(*_sums()).first()))
+
+
+#: Keys are dealt to so many buckets by their hash; rows of buckets with equal sums on both sides are not compared one by one.
+BUCKETS = 4096
+
+
+def _named(key: Sequence[str]) -> Column:
+    return F.to_json(F.array(*(F.col(k).cast("string") for k in key)), {"ignoreNullFields": "false"})
+
+
+def _bucket(key: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in key)), F.lit(BUCKETS)).cast("int")
+
+
+def differing_buckets(stored: DataFrame, derived: DataFrame, key: Sequence[str]) -> tuple[str, list[int]]:
+    """The digest of what is stored, and the buckets of keys in which the two sides are not the same multiset. Only sums by bucket are
+    exchanged, and come to the driver: no more than two rows a bucket."""
+
+    def side(df: DataFrame, is_stored: bool) -> DataFrame:
+        return _halves(df, _bucket(key).alias("bucket"), F.lit(is_stored).alias("stored"))
+
+    found: dict[bool, dict[int, tuple[int, int, int]]] = {True: {}, False: {}}
+    for r in side(stored, True).unionByName(side(derived, False)).groupBy("bucket", "stored").agg(*_sums()).collect():
+        found[r["stored"]][r["bucket"]] = _added(r)
+    ours, theirs = found[True], found[False]
+    return _digest(*(sum(s[i] for s in ours.values()) for i in range(3))), sorted(x for x in ours.keys() | theirs.keys() if ours.get(x) != theirs.get(x))
 
 
-def row_differences(stored: DataFrame, derived: DataFrame, key: Sequence[str]) -> DataFrame:
+def row_differences(stored: DataFrame, derived: DataFrame, key: Sequence[str], buckets: Sequence[int] | None = None) -> DataFrame:
     """(key, problem) of the keys whose rows are not the same multiset on both sides: `changed`, `surplus` (stored, not derived) or
-    `missing`. The key is the JSON of its columns. One exchange: rows of both sides are summed, as +1 and -1, by key and content."""
+    `missing`. The key is the JSON of its columns. One exchange: rows of both sides, of `buckets` if they are given, are summed, as
+    +1 and -1, by key and content."""
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        named = F.to_json(F.array(*(F.col(k).cast("string") for k in key)), {"ignoreNullFields": "false"})
-        return df.select(named.alias("key"), F.md5(row_text(df)).alias("h"), F.lit(sign).alias("d"))
+        if buckets is not None:
+            df = df.where(_bucket(key).isin(list(buckets)))
+        return df.select(_named(key).alias("key"), F.md5(row_text(df)).alias("h"), F.lit(sign).alias("d"))
 
     both = side(stored, 1).unionByName(side(derived, -1)).groupBy("key", "h").agg(F.sum("d").alias("d")).where("d <> 0")
     more, less = F.max("d") > 0, F.min("d") < 0
@@ -86,12 +134,16 @@ class Chain:
         said, differing = [], []
         for t in self.tables:
             own = manifests[t.name]
-            if multiset_digest(self.stored(t.name)) != own["digest"]:
+            stored, derived = self.stored(t.name), t.derive({s: self.stored(s) for s in t.sources})
+            digest, buckets = differing_buckets(stored, derived, t.key)
+            if digest != own["digest"]:
                 said.append((t.name, "rows differ from the manifest", None, None))
             for s in sorted(set(t.sources) | set(own["sources"])):
                 if own["sources"].get(s) != manifests.get(s, {}).get("digest"):
                     said.append((t.name, f"pins other rows of {s}", None, None))
-            rows = row_differences(self.stored(t.name), t.derive({s: self.stored(s) for s in t.sources}), t.key)
+            if not buckets:
+                continue
+            rows = row_differences(stored, derived, t.key, buckets)
             differing.append(rows.groupBy("problem").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).select(F.lit(t.name).alias("table"), "problem", "key", "n"))
         out = self.spark.createDataFrame(said, FOUND)
         for rows in differing:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import jsontext
-from millrace.operators import linkage
+from millrace.operators import lineage, linkage
 from millrace.plans import orders, scans
 from millrace.sources.typed import rejected, scan
 
@@ -78,3 +78,14 @@ def test_links_of_no_group_are_not_paired(spark):
     results = spark.createDataFrame([(None, 0, "a", "x", 5, 1), (1, 0, "a", "x", 5, 1)], "g long, ordinal long, id string, name string, content int, arguments int")
     found = linkage.linked_calls(calls, messages, results, "g").collect()
     assert sorted((r["g"] or 0, r["ordinal"], r["id"], r["problem"] or "") for r in found) == [(0, 0, "a", "no call"), (0, 0, "a", "result surplus"), (1, 0, "a", "")]
+
+
+def test_only_buckets_that_differ_are_compared_by_row(spark):
+    stored = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 1).otherwise(0).alias("v"))
+    derived = spark.range(5001).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    digest, buckets = lineage.differing_buckets(stored, derived, ["k"])
+    assert digest == lineage.multiset_digest(stored) and 1 <= len(buckets) <= 2
+    found = lineage.row_differences(stored, derived, ["k"], buckets)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lineage.row_differences(stored, derived, ["k"]).collect())) == [('["5000"]', "missing"), ('["7"]', "changed")]
+    empty = stored.where("k < 0")
+    assert lineage.differing_buckets(empty, empty, ["k"]) == (lineage.multiset_digest(empty), [])
