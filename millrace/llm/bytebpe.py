@@ -24,12 +24,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, text_steps
+from .common import documents, id_text, in_tasks_of, text_steps
 
 #: UTF-8 bytes beyond which a word is merged by a heap, as a fold over it takes quadratic time: a second at this length.
 LONGEST_FOLD = 4096
-#: Words in a row, bytes of text whose words are numbered before they are sent on, and words after which numbering starts anew.
-ROW_WORDS, STEP_BYTES, KEPT_WORDS = 2_000, 1 << 20, 150_000
+#: Words in a row, bytes of text whose words are numbered before they are sent on, and words, or characters in them, after which
+#: numbering starts anew: what a task holds of its words is bounded, and until then each is folded once.
+ROW_WORDS, STEP_BYTES, KEPT_WORDS, KEPT_CHARS = 2_000, 1 << 20, 750_000, 12_000_000
+#: Bytes of input files that a task reads, if there are tasks enough for all cores: the more of them, the fewer words are folded.
+TASK_BYTES = 32 << 20
 #: A pair is one number: its rank, its place in the word and the id of its first piece, in so many bits; the last rank is none.
 RANK_BITS, PLACE_BITS, ID_BITS = 20, 23, 20
 NO_RANK = (1 << RANK_BITS) - 1
@@ -187,11 +190,12 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Numbers(dict):
-    """Words by their number: a new word gets the next one and is kept in `new`."""
+    """Words by their number: a new word gets the next one and is kept in `new`. chars: those of the words sent on."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
@@ -226,12 +230,13 @@ def _cut(pattern: str, apart: set[str]):
         find, numbers, forget = regex.compile(pattern).findall, Numbers(), True
         for batch in batches:
             for step in text_steps(batch, limit=STEP_BYTES):
-                if len(numbers) > KEPT_WORDS:
+                if len(numbers) > KEPT_WORDS or numbers.chars > KEPT_CHARS:
                     numbers, forget = Numbers(), True
                 uses = [array("i", map(numbers.__getitem__, find(t))).tobytes() for t in step.column("text").to_pylist()]
                 for i in range(0, len(numbers.new), ROW_WORDS):
                     yield _word_row(numbers.new[i : i + ROW_WORDS], apart, forget)
                     forget = False
+                numbers.chars += sum(map(len, numbers.new))
                 numbers.new.clear()
                 yield _cut_row(forget=forget, doc_ids=step.column("doc_id").to_pylist(), sizes=[len(u) // 4 for u in uses], uses=b"".join(uses))
                 forget = False
@@ -279,7 +284,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     null doc_id is kept as null. An empty table gives no rows. Columns other than doc_id and text are ignored.
     """
     ranks = load_ranks(path)
-    cut = id_text(docs).mapInArrow(_cut(pattern, unreached(ranks)), CUT)
+    cut = in_tasks_of(id_text(docs), TASK_BYTES).mapInArrow(_cut(pattern, unreached(ranks)), CUT)
     coded = cut.withColumn("ids", encode_words(F.col("words"), ranks))
     coded = coded.select("forget", "aside_at", "aside", "doc_ids", "sizes", "uses", F.transform("ids", lambda x: F.array_join(x.cast("array<string>"), " ")).alias("id_texts"), decode_ids(F.col("ids"), piece_list(ranks)).alias("raw"))
     return coded.mapInArrow(_assemble(path), OUT)

@@ -63,11 +63,24 @@ def discard(*tables: DataFrame) -> None:
 SHARE_BYTES = 32 << 20
 
 
+def _input_sizes(docs: DataFrame) -> list[int]:
+    """Bytes of what docs reads; rows that are not from files count as endless."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+
+
+def in_tasks_of(docs: DataFrame, size: int) -> DataFrame:
+    """docs in fewer, larger tasks, without a shuffle: of `size` bytes of input files each, but not fewer than cores. If a size is
+    not known, docs as it is."""
+    sizes = _input_sizes(docs)
+    if any(x >= 1 << 60 for x in sizes):
+        return docs
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // size)))
+
+
 def partitions(docs: DataFrame) -> int:
     """How many partitions to deal rows made from docs to: as the session says, and more if the files that docs reads are large."""
-    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    known = sum(x for x in sizes if x < 1 << 60)  # rows that are not from files count as endless
+    known = sum(x for x in _input_sizes(docs) if x < 1 << 60)
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // SHARE_BYTES))
 
 

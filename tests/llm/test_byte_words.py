@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as tok
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -34,6 +35,40 @@ def test_many_rows_of_words_and_numbers_that_start_anew(spark, monkeypatch):
     assert got == {i: expected(t) for i, t in enumerate(texts)}
 
 
+def folded(texts):
+    """How many words of these texts, a batch each, go on to be folded."""
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    rows = bytebpe._cut(tok.PATTERN, set())(iter(batches))
+    return sum(len(row.column("words")[0]) for row in rows if row.column("words")[0].is_valid)
+
+
+def test_words_of_a_task_are_folded_once():
+    letters = "abcdefghijklmnopqrst"
+    words = [" " + a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    texts = ["".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    assert folded(texts * 2) == len(words)
+
+
+def test_long_words_make_numbering_start_anew(monkeypatch):
+    texts = [c * 400 for c in "abcdefgh"]
+    monkeypatch.setattr(bytebpe, "KEPT_CHARS", 1000)
+    assert folded(texts) == 8 and folded([*texts[:4], texts[0]]) == 5 and folded([*texts[:2], *texts[:2]]) == 2
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    texts = [f"word{i} the {i * 7}" for i in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(100).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        assert docs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        out = bytebpe.encode_decode(docs, PATH)
+        assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert {r["doc_id"]: tuple(r)[1:] for r in out.collect()} == {i: expected(t) for i, t in enumerate(texts)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_rank_table_holds_every_join():
     ranks = bytebpe.load_ranks(PATH)
     table = bytebpe.RankTable(ranks)
